@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixgrid.llm import byte_bpe, chat, quality_rules, url_filter
+from helixgrid.llm import byte_bpe, chat, language_id, quality_rules, url_filter
 from helixgrid.llm.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_url_filter", url_filter.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@_query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~language_id.held_out())
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
