@@ -8,12 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixgrid.shipping import ship
+
 #: Rows an Arrow batch holds at most: texts can be long, and a Python worker holds whole batches.
 ARROW_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches for long texts."""
+    """Ships the package to Python workers and bounds Arrow batches for long texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
