@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixgrid.llm import byte_bpe, chat, decontaminate, language_id, quality_rules, substring_dedup, toxicity, url_filter
+from helixgrid.llm import byte_bpe, chat, decontaminate, jaccard_join, language_id, quality_rules, substring_dedup, toxicity, url_filter
 from helixgrid.llm.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~language_id.held_out())
     return toxicity.score(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
+@_query("op9_jaccard_join", jaccard_join.ORACLE_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
