@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,17 +115,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ancho
         docs = docs.drop("removed")
     again = removals(docs, id_col, text_col, anchor, unit_words).withColumnRenamed("id", "_id")
     joined = docs.join(again, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    same = joined.filter("again is null").drop("again").withColumn("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
     columns = [c for c in docs.columns if c != text_col]
-    # other columns ride along as one struct, whatever their names
-    packed = joined.filter("again is not null").select(F.struct(*columns).alias("rest"), F.col(text_col).alias("text"), "again")
+    # other columns ride along as one struct, whatever their names; one join for changed and unchanged rows, as it deals out all texts
+    packed = joined.select(F.struct(*columns).alias("rest"), F.col(text_col).alias("text"), "again")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, removed = [], []
             again_at = b.column(2).to_pylist()
-            for x in blocks(b.column(1)):
+            hit = [i for i, again in enumerate(again_at) if again]
+            if not hit:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[]] * b.num_rows, span)], ["rest", "text", "removed"])
+                continue
+            again_at = [again_at[i] for i in hit]
+            texts, removed = [], []
+            for x in blocks(b.column(1).take(pa.array(hit))):
                 text, at, end, digest, w = units(x, anchor, unit_words)
                 bounds = np.searchsorted(text, np.arange(x.size + 1))
                 signed = digest.view(np.int64)
@@ -135,12 +140,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ancho
                     new, spans = cut_out(bytes(x.data[x.offsets[i] : x.offsets[i + 1]]), w, int(x.offsets[i]), gone, min_words)
                     texts.append(new)
                     removed.append([{"start": a, "end": z} for a, z in spans])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, span)], ["rest", "text", "removed"])
+            changed = np.zeros(b.num_rows, bool)
+            changed[hit] = True
+            all_removed = [[]] * b.num_rows
+            for i, r in zip(hit, removed, strict=True):
+                all_removed[i] = r
+            new = pc.replace_with_mask(b.column(1), pa.array(changed), pa.array(texts, b.column(1).type))
+            yield pa.RecordBatch.from_arrays([b.column(0), new, pa.array(all_removed, span)], ["rest", "text", "removed"])
 
     rest = packed.schema["rest"].dataType.simpleString()
     changed = packed.mapInArrow(run, f"rest {rest}, text string, removed array<struct<start:int,end:int>>")
-    back = changed.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], "removed")
-    return same.select(*docs.columns, "removed").unionByName(back)
+    return changed.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], "removed")
 
 
 def cut_out(text: bytes, w: object, base: int, gone: list[tuple[int, int]], min_words: int) -> tuple[str, list[tuple[int, int]]]:
