@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixgrid.llm import byte_bpe, chat, decontaminate, jaccard_join, language_id, quality_rules, substring_dedup, toxicity, url_filter
-from helixgrid.llm.session import table
+from helixgrid.llm import byte_bpe, chat, decontaminate, jaccard_join, language_id, quality_rules, substring_dedup, toxicity, url_filter, warc
+from helixgrid.llm.session import fresh_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_jaccard_join", jaccard_join.ORACLE_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_warc", warc.ORACLE_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
