@@ -10,13 +10,15 @@ words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Two documents link if 100
    shingles on both sides. A shard is what agrees in (size class, group, the group's shingles). Up to `GROUPS` groups
    all serve; where there are more, `GROUPS` of them do, of which at least 44 % are expected to agree, which misses a
    linked pair with a probability below 1e-12.
-3. Count vectors. Shingles are hashed into `DIMENSIONS` groups; the counts are a point. The overlap of two sets is at
+3. Merging rounds. In each shard every component (at first: every document) but the lowest names one pair with the
+   lowest; each component keeps the pair that most of its shards name, and that pair is verified. Groups of copies
+   fall together in a few rounds, at one pair per component and round, so they don't become all their pairs. Rounds
+   end when none finds a link; what they leave open, and only that, is searched in full:
+4. Count vectors. Shingles are hashed into `DIMENSIONS` groups; the counts are a point. The overlap of two sets is at
    most the sum of the coordinates' minima; that of a set with all points under a node of an R-tree is at most the sum
-   of minima with the node's upper corner. Each shard is searched by a bulk-loaded R-tree with that bound.
-4. Surviving pairs are verified by the exact intersection. The first round takes, for each document of a shard, the
-   survivor with the smallest id; components are made of the links; the second round takes all survivors between
-   documents of a shard whose components still differ. So large groups of copies don't become all their pairs, and no
-   link between different components is lost.
+   of minima with the node's upper corner. Each shard that still holds several components is searched by a bulk-loaded
+   R-tree with that bound, and every surviving pair of different components is verified by the exact intersection. So
+   no link between components is lost.
 
 Shard rows are 16 bytes; sets travel only for documents that share a shard, and to the task that verifies a pair: rows
 are dealt by the first document and a salt, and streamed past its set.
@@ -44,7 +46,8 @@ from helixgrid.llm.textkernel import LOWER, SPACE, blocks, mix, shingles, word_h
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 48
-DIMENSIONS = 32
+DIMENSIONS = 256
+ROUNDS = 6
 FANOUT = 16
 SALT_ROWS = 4_096
 _GOLD = 0x9E3779B97F4A7C15
@@ -120,7 +123,9 @@ def shard_keys(found: np.ndarray, sizes: Sizes) -> np.ndarray:
 
 
 def vector(found: np.ndarray) -> np.ndarray:
-    return np.bincount((found >> np.uint64(7)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS).astype(np.int32)
+    """Counts as bytes. A set too large for them gets all 255: nothing bounds it, and its pairs are verified."""
+    counts = np.bincount((found >> np.uint64(7)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS)
+    return (counts if counts.max() < 255 else np.full(DIMENSIONS, 255)).astype(np.uint8)
 
 
 def enough(a: np.ndarray, b: np.ndarray, overlap: np.ndarray, percent: int) -> np.ndarray:
@@ -147,28 +152,15 @@ class RTree:
             if depth < len(self.levels) - 1:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 at = at[at < len(corner)]
-            bound = np.minimum(corner[at], q).sum(axis=1)
+            bound = np.minimum(corner[at], q).sum(axis=1, dtype=np.int64)
+            if q[0] == 255:  # a set beyond byte counts, or a node that holds one
+                bound[:] = n
+            bound[corner[at, 0] == 255] = n
             at = at[enough(least[at], n, np.minimum(bound, n), percent)]
         return self.order[at]
 
 
-def _first_round(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """For each document of a shard but the first, the survivor with the smallest id below its own."""
-    bound = np.minimum(points[1:], points[0]).sum(axis=1)
-    near = enough(sizes[1:], sizes[0], bound, percent)
-    out = [(0, int(i) + 1) for i in np.flatnonzero(near)]
-    rest = np.flatnonzero(~near) + 1
-    if len(rest) > 1:
-        tree = RTree(points[rest], sizes[rest])
-        for j, i in enumerate(rest[1:], 1):
-            got = tree.search(points[i], sizes[i], percent)
-            got = got[got < j]
-            if len(got):
-                out.append((int(rest[got.min()]), int(i)))
-    return out
-
-
-def _second_round(roots: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _open_pairs(roots: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """All survivors of a shard between different components."""
     kinds, inverse, count = np.unique(roots, return_inverse=True, return_counts=True)
     if len(kinds) < 2:
@@ -219,32 +211,42 @@ def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[keep][at : at + (1 << 16)]), pa.array(node[keep][at : at + (1 << 16)])], ["key", "id"])
 
 
-def _searcher(percent: int, second: bool):
+def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, root, id) in order: for each component of a shard but the lowest, (its root, lowest id of the shard's lowest component, its own lowest id)."""
+    for t in _runs(batches):
+        key, root, node = (t.column(c).to_numpy() for c in ("key", "root", "id"))
+        new_key = np.append(True, key[1:] != key[:-1])
+        new_part = new_key.copy()
+        new_part[1:] |= root[1:] != root[:-1]
+        lead = node[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]
+        at = new_part & ~new_key
+        yield pa.RecordBatch.from_arrays([pa.array(root[at]), pa.array(lead[at]), pa.array(node[at])], ["root", "a", "b"])
+
+
+def _searcher(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
-            key, ids, sizes = (t.column(c).to_numpy() for c in ("key", "id", "n"))
-            points = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
-            roots = t.column("root").to_numpy() if second else None
+            key, ids, sizes, roots = (t.column(c).to_numpy() for c in ("key", "id", "n", "root"))
+            points = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            a, b = [], []
+            found = set()
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo < 2:
-                    continue
-                if second:
-                    got = _second_round(roots[lo:hi], points[lo:hi], sizes[lo:hi], percent)
-                else:
-                    got = _first_round(ids[lo:hi], points[lo:hi], sizes[lo:hi], percent)
-                a += [int(ids[lo + i]) for i, _ in got]
-                b += [int(ids[lo + j]) for _, j in got]
-                if len(a) >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                    a, b = [], []
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                for i, j in _open_pairs(roots[lo:hi], points[lo:hi], sizes[lo:hi], percent):
+                    found.add((int(ids[lo + i]), int(ids[lo + j])))
+                if len(found) >= 1 << 16:
+                    yield _pairs(found)
+                    found = set()
+            if found:
+                yield _pairs(found)
 
     return run
 
 
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*sorted(found), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _verify(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Rows are dealt by a and a salt that grows with the number of its pairs."""
     per_a = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
@@ -332,17 +334,32 @@ def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col
     likely = own.filter("id is not null").select("id", "text", F.xxhash64("id").alias("v")).mapInArrow(maybe_active, "id long, text string")
     features = cut(likely.join(active, "id", "left_semi").select("id", "text").mapInArrow(features_of, "id long, n long, vector binary, found array<long>"))
 
-    rows = shared.join(features.select("id", "n", "vector"), "id")
-    first = rows.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "n", "vector").mapInArrow(_searcher(percent, False), "a long, b long").filter("a <> b").distinct()
-    links = cut(_verify(cut(first), features, percent))
-    roots = cut(components(links))
-    rooted = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    still = rooted.join(open_keys, "key", "left_semi").join(features.select("id", "n", "vector"), "id")
-    second = still.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "n", "vector", "root").mapInArrow(_searcher(percent, True), "a long, b long").filter("a <> b")
-    ordered = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def rooted(roots: DataFrame | None) -> DataFrame:
+        """The rows (key, root, id) of shards that hold several components."""
+        if roots is None:
+            return shared.select("key", F.col("id").alias("root"), "id")
+        rows = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "id")
+        several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        return rows.join(several, "key", "left_semi")
+
+    links, roots, tried = None, None, None
+    for _ in range(ROUNDS):
+        named = rooted(roots).repartition("key").sortWithinPartitions("key", "root", "id").mapInArrow(_name_pairs, "root long, a long, b long").filter("a <> b")
+        counted = named.groupBy("root", "a", "b").agg(F.count(F.lit(1)).alias("m"))
+        if tried is not None:
+            counted = counted.join(tried, ["a", "b"], "left_anti")
+        chosen = cut(counted.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct())
+        tried = chosen if tried is None else tried.unionByName(chosen)
+        new = cut(_verify(chosen, features, percent))
+        links = new if links is None else links.unionByName(new)
+        if new.isEmpty():
+            break
+        roots = cut(components(links))
+    still = rooted(roots).join(features.select("id", "n", "vector"), "id")
+    survivors = still.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "n", "vector", "root").mapInArrow(_searcher(percent), "a long, b long").filter("a <> b")
+    ordered = survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_verify(cut(ordered), features, percent))
-    final = components(links.unionByName(more))
+    final = roots if roots is not None and more.isEmpty() else components(links.unionByName(more))
     # rows that repeat an id are one node: classes of one id are one component
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "x", "y", F.coalesce("root", "rep").alias("component"))
     got = per_row.join(by_class, ["n", "x", "y"], "left")
