@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from helixgrid.plans import alignment_queries  # noqa: F401  registers its queries
 from helixgrid.plans.registry import ORACLE, QUERIES, Query
 
 
