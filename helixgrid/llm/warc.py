@@ -11,8 +11,8 @@ a repeated attempt moves the same bytes there. The list of files with sizes and
 Spark's own commit, last; readers open what the manifest lists, and nothing else.
 
 Of records with equal payloads of at least `least_bytes`, the one with the largest id is the response; the others are
-revisits without payload that refer to it. Digests are grouped with partial maxima; pages are joined to the digests
-that repeat, so a hot payload can be split over tasks, and revisits drop their payload before rows are dealt to shards.
+revisits without payload that refer to it. Digests are grouped with partial maxima and joined, without payloads, to
+the ids that repeat them; what that gives are marks, which meet their pages in the shard. Payloads are shuffled once.
 
 Defined cases: a null html is an empty payload; a null or empty url gives no WARC-Target-URI, and bytes that a header
 can't hold are percent-encoded; rows that repeat an id are written each, and where they repeat the largest id of their
@@ -166,22 +166,29 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
         .agg(F.max("id").alias("response"), F.max(F.struct("id", "url"))["url"].alias("response_url"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and response is not null").select(F.col("digest").alias("_d"), F.col("length").alias("_l"), "response", "response_url")
     )
-    revisit = F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response"))
-    marked = hashed.join(repeated, (F.col("digest") == F.col("_d")) & (F.col("length") == F.col("_l")), "left").select("id", "url", "length", "digest", F.when(revisit, F.col("response")).alias("response"), F.when(revisit, F.col("response_url")).alias("response_url"), F.when(~revisit, F.col("payload")).alias("payload"))
     starts = _shards(own.select("id", F.octet_length("payload").cast("long").alias("stored")), shard_bytes)
-    shard = F.when(F.col("id").isNull(), 0).otherwise(_place(F.col("id"), starts))
-    dealt = marked.withColumn("shard", shard.cast("int")).repartitionByRange(len(starts), "shard").sortWithinPartitions("shard", "id", "url", "digest")
+    shard = F.when(F.col("id").isNull(), 0).otherwise(_place(F.col("id"), starts)).cast("int").alias("shard")
+    # a revisit is told by a mark that is sorted before its page, so payloads are dealt out once and joined to nothing
+    small = hashed.select("id", "digest", "length").distinct()
+    marks = small.join(repeated, (F.col("digest") == F.col("_d")) & (F.col("length") == F.col("_l"))).filter(~F.col("id").eqNullSafe(F.col("response")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    mark_rows = marks.select(shard, "id", F.lit(0).alias("kind"), none("string", "url"), none("binary", "payload"), "digest", "length", "response", "response_url")
+    page_rows = hashed.select(shard, "id", F.lit(1).alias("kind"), "url", "payload", "digest", "length", none("long", "response"), none("string", "response_url"))
+    dealt = page_rows.unionByName(mark_rows).repartitionByRange(len(starts), "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
     store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
     store.create_dir(path)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, where = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         there.create_dir(where)
-        now, part, done = None, 0, []
-        names = ("shard", "id", "url", "payload", "digest", "length", "response", "response_url")
+        now, part, done, mark = None, 0, [], None
+        names = ("shard", "id", "kind", "url", "payload", "digest", "length", "response", "response_url")
         for b in batches:
-            for s, page, url, payload, digest, length, response, response_url in zip(*(b.column(c) for c in names), strict=True):
-                s = s.as_py()
+            for s, page, kind, url, payload, digest, length, response, response_url in zip(*(b.column(c) for c in names), strict=True):
+                s, which = s.as_py(), (page.as_py(), digest.as_py())
+                if kind.as_py() == 0:
+                    mark = (which, (response.as_py(), response_url.as_py()))
+                    continue
                 if now is not None and (s != now.shard or now.size >= roll_bytes):
                     part = part + 1 if s == now.shard else 0
                     done.append(now.close())
@@ -190,8 +197,8 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
                     part = 0
                 if now is None:
                     now = _File(there, where, s, part, date)
-                refers = (response.as_py(), response_url.as_py()) if response.is_valid else None
-                now.put(member(make_record(page.as_py(), url.as_py(), payload.as_py() or b"", digest.as_py(), length.as_py(), refers, date)))
+                refers = mark[1] if mark is not None and mark[0] == which else None
+                now.put(member(make_record(page.as_py(), url.as_py(), payload.as_py(), digest.as_py(), length.as_py(), refers, date)))
                 now.records += 1
             if done:
                 yield _manifest(done)
