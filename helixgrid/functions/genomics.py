@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,6 +31,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def upper_ascii(c: Column | str) -> Column:
+    """A-Z only: other letters keep their length, so positions stay true."""
+    return F.translate(_col(c), string.ascii_lowercase, string.ascii_uppercase)
+
+
 def flag_is(flag: Column | str, bits: int) -> Column:
     """Any of the bits is set."""
     return _col(flag).bitwiseAND(F.lit(bits)) != 0
@@ -99,11 +105,11 @@ def midpoint(start: Column | str, end: Column | str) -> Column:
 
 
 def reverse_complement(seq: Column | str) -> Column:
-    return F.translate(F.reverse(F.upper(_col(seq))), "ACGTU", "TGCAA")
+    return F.translate(F.reverse(upper_ascii(seq)), "ACGTU", "TGCAA")
 
 
 def base_class(base: Column | str) -> Column:
-    b = F.upper(_col(base))
+    b = upper_ascii(base)
     return F.when(b == "U", "T").when(b.isin(*"ACGT"), b).otherwise("N")
 
 
@@ -127,17 +133,17 @@ def mean_quality(quals: Column | str) -> Column:
 
 
 def poly_tail(seq: Column | str, base: str, least: int = 12) -> Column:
-    return F.upper(_col(seq)).rlike(f"{base}{{{least}}}$")
+    return upper_ascii(seq).rlike(f"{base}{{{least}}}$")
 
 
 def adapter_start(seq: Column | str, adapter: str) -> Column:
     """0-based start of the first hit, -1 without."""
-    return F.locate(adapter, F.upper(_col(seq))) - 1
+    return F.locate(adapter, upper_ascii(seq)) - 1
 
 
 def kmers(seq: Column | str, k: int) -> Column:
     """All upper-case k-mers of A, C, G and T, repeats included."""
-    s = F.upper(_col(seq))
+    s = upper_ascii(seq)
     starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))
     return F.filter(F.transform(starts, lambda i: F.substr(s, i, F.lit(k))), lambda x: x.rlike("^[ACGT]+$"))
 

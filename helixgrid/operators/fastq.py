@@ -14,7 +14,7 @@ def summary(reads: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_reads"), F.coalesce(F.sum(n.cast("bigint")), F.lit(0)).alias("total_bases"), F.min(n).alias("min_len"), F.max(n).alias("max_len"),
         F.coalesce(F.try_divide(F.sum(n), F.count(F.lit(1))), F.lit(0.0)).alias("mean_len"),
         F.count_if(G.poly_tail("seq", "A")).alias("poly_a"), F.count_if(G.poly_tail("seq", "G")).alias("poly_g"),
-        F.count_if(F.length(F.translate(F.upper("seq"), "ACGTU", "")) > 0).alias("n_reads"),
+        F.count_if(F.length(F.translate("seq", "ACGTUacgtu", "")) > 0).alias("n_reads"),
     )
 
 

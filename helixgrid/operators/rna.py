@@ -97,8 +97,8 @@ def inner_distances(pairs: DataFrame, exons: DataFrame, low: int = -1_000, high:
     known = spans.join(gene, ["pid", "side"], "left")
     both = known.groupBy("pid").agg(F.count_distinct("chrom").alias("chroms"), F.count("gene_id").alias("genes"), F.min("gene_id").alias("g1"), F.max("gene_id").alias("g2"), F.min("chrom").alias("chrom"), F.min("s.start").alias("p1"), (F.max("s.end") - 1).alias("p2"), F.sum("aligned").alias("aligned"), F.max_by("reverse", -F.col("side")).alias("r1_reverse"), F.max_by("reverse", "side").alias("r2_reverse"), F.min("strand").alias("strand"))
     same = both.filter("chroms = 1 and genes = 2 and g1 = g2")
-    ends = same.select("*", F.explode(F.array("p1", "p2")).alias("p")).join(e, (F.col("g1") == F.col("gene_id")) & (F.col("p") >= F.col("start")) & (F.col("p") < F.col("end"))).withColumn("spliced", spliced_position(F.col("p")))
-    got = ends.groupBy("pid", "aligned", "r1_reverse", "r2_reverse", same["strand"].alias("gene_strand"), "p1", "p2").agg(F.count_distinct("p").alias("n"), (F.max("spliced") - F.min("spliced") + 1).alias("fragment")).filter("n = case when p1 = p2 then 1 else 2 end")
+    ends = same.withColumnRenamed("strand", "gene_strand").select("*", F.explode(F.array("p1", "p2")).alias("p")).join(e, (F.col("g1") == F.col("gene_id")) & (F.col("p") >= F.col("start")) & (F.col("p") < F.col("end"))).withColumn("spliced", spliced_position(F.col("p")))
+    got = ends.groupBy("pid", "aligned", "r1_reverse", "r2_reverse", "gene_strand", "p1", "p2").agg(F.count_distinct("p").alias("n"), (F.max("spliced") - F.min("spliced") + 1).alias("fragment")).filter("n = case when p1 = p2 then 1 else 2 end")
     return got.select((F.col("fragment") - F.col("aligned")).alias("inner_distance"), "r1_reverse", "r2_reverse", "gene_strand").filter(F.col("inner_distance").between(low, high))
 
 
