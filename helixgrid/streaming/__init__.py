@@ -1 +1 @@
-"""helixgrid.streaming"""
+"""Structured Streaming over alignments and reads that arrive as files."""
