@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixgrid.llm.session import cut
+from helixgrid.llm.session import cut, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -38,6 +38,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if now == before:
             break
         before = now
+        release(edges.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

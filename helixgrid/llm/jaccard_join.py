@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from helixgrid.llm.components import components
 from helixgrid.llm.decontaminate import _filter, _holds
-from helixgrid.llm.session import cut, prepare
+from helixgrid.llm.session import cut, prepare, release
 from helixgrid.llm.textkernel import LOWER, SPACE, blocks, mix, shingles, word_hashes, words
 
 SHINGLE = 4
@@ -223,6 +223,17 @@ def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(root[at]), pa.array(lead[at]), pa.array(node[at])], ["root", "a", "b"])
 
 
+def _keep_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, root, id) in order: those of keys with several roots."""
+    for t in _runs(batches):
+        key, root = t.column("key").to_numpy(), t.column("root").to_numpy()
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        several = np.repeat(root[starts] != root[starts + sizes - 1], sizes)
+        if several.any():
+            yield from t.filter(pa.array(several)).combine_chunks().to_batches(1 << 16)
+
+
 def _searcher(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
@@ -334,17 +345,12 @@ def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col
     likely = own.filter("id is not null").select("id", "text", F.xxhash64("id").alias("v")).mapInArrow(maybe_active, "id long, text string")
     features = cut(likely.join(active, "id", "left_semi").select("id", "text").mapInArrow(features_of, "id long, n long, vector binary, found array<long>"))
 
-    def rooted(roots: DataFrame | None) -> DataFrame:
-        """The rows (key, root, id) of shards that hold several components."""
-        if roots is None:
-            return shared.select("key", F.col("id").alias("root"), "id")
-        rows = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "id")
-        several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        return rows.join(several, "key", "left_semi")
-
+    # rows (key, root, id) of shards that hold several components. A shard's rows stay together and in order from here
+    # on, in the checkpointed partitions too; what is closed never opens again
+    opened = shared.select("key", F.col("id").alias("root"), "id")
     links, roots, tried = None, None, None
     for _ in range(ROUNDS):
-        named = rooted(roots).repartition("key").sortWithinPartitions("key", "root", "id").mapInArrow(_name_pairs, "root long, a long, b long").filter("a <> b")
+        named = opened.mapInArrow(_name_pairs, "root long, a long, b long").filter("a <> b")
         counted = named.groupBy("root", "a", "b").agg(F.count(F.lit(1)).alias("m"))
         if tried is not None:
             counted = counted.join(tried, ["a", "b"], "left_anti")
@@ -355,7 +361,10 @@ def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col
         if new.isEmpty():
             break
         roots = cut(components(links))
-    still = rooted(roots).join(features.select("id", "n", "vector"), "id")
+        moved = opened.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "id")
+        opened = cut(moved.repartition("key").sortWithinPartitions("key", "root", "id").mapInArrow(_keep_open, "key long, root long, id long"))
+        release(spark)
+    still = opened.join(features.select("id", "n", "vector"), "id")
     survivors = still.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "n", "vector", "root").mapInArrow(_searcher(percent), "a long, b long").filter("a <> b")
     ordered = survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_verify(cut(ordered), features, percent))
