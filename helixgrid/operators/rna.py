@@ -133,3 +133,18 @@ def junction_saturation(classified: DataFrame) -> DataFrame:
     """novelty, percent (10 .. 100), junctions that would be seen with that share of reads."""
     level = F.explode(F.sequence(F.lit(10), F.lit(100), F.lit(10)))
     return classified.select("novelty", "min_bucket", level.alias("percent")).groupBy("novelty", "percent").agg(F.count_if(F.col("min_bucket") < F.col("percent")).alias("junctions"))
+
+
+def fragments(pairs: DataFrame) -> DataFrame:
+    """qname, contig, start, end, blocks of pairs on one contig with mates that point in different directions; blocks of both, merged where they overlap or touch."""
+    rev = lambda r: G.flag_is(f"{r}.flag", G.REVERSE)
+    both = pairs.filter((F.col("r1.contig") == F.col("r2.contig")) & (rev("r1") != rev("r2")))
+    blocks = F.array_sort(F.concat(G.aligned_blocks("r1.cigar", "r1.pos0"), G.aligned_blocks("r2.cigar", "r2.pos0")))
+
+    def step(acc, b):
+        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= b["start"])
+        merged = F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], b["end"]).alias("end"))
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(b)))
+
+    out = both.select("qname", F.col("r1.contig").alias("contig"), F.aggregate(blocks, F.array().cast("array<struct<start:bigint,end:bigint>>"), step).alias("blocks")).filter(F.size("blocks") > 0)
+    return out.select("qname", "contig", F.element_at("blocks", 1)["start"].alias("start"), F.element_at("blocks", -1)["end"].alias("end"), "blocks")

@@ -204,7 +204,7 @@ def w6(s, d):
     return line.select("insert_size", (F.sum(F.coalesce("count", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("insert_size").rowsBetween(-3, 3)) / 7.0).alias("smooth"))
 
 
-MD_ROWS = f"SELECT {KEYS}, contig, pos0, flag, cigar, mlen, concat(CAST(mlen - 6 - CASE WHEN l_linenumber % 4 = 3 THEN 15 ELSE 0 END AS STRING), 'A5') AS tail FROM ({X.ALNC}) z"
+MD_ROWS = f"SELECT {KEYS}, qname, contig, pos0, flag, mapq, cigar, mlen, concat(CAST(mlen - 6 - CASE WHEN l_linenumber % 4 = 3 THEN 15 ELSE 0 END AS STRING), 'A5') AS tail FROM ({X.ALNC}) z"
 MD = f"SELECT *, CASE WHEN l_linenumber % 4 = 3 THEN concat('15^ACG', tail) ELSE tail END AS md, repeat('C', CAST(mlen + CASE WHEN l_linenumber % 4 = 1 THEN 5 WHEN l_linenumber % 4 = 3 THEN 2 ELSE 0 END AS INT)) AS seq FROM ({MD_ROWS}) y"
 
 

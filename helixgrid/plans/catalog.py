@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixgrid.plans import alignment_queries, read_queries, rna_queries  # noqa: F401  they register their queries
+from helixgrid.plans import alignment_queries, read_queries, region_queries, rna_queries  # noqa: F401  they register their queries
 from helixgrid.plans.registry import ORACLE, QUERIES, Query
 
 
