@@ -10,8 +10,8 @@ words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Two documents link if 100
    shingles on both sides. A shard is what agrees in (size class, group, the group's shingles). Up to `GROUPS` groups
    all serve; where there are more, `GROUPS` of them do, of which at least 44 % are expected to agree, which misses a
    linked pair with a probability below 1e-12.
-3. Merging rounds. In each shard every component (at first: every document) but the lowest names one pair with the
-   lowest; each component keeps the pair that most of its shards name, and that pair is verified. Groups of copies
+3. Merging rounds. In each shard every component (at first: every document) names one pair with the document that
+   meets most others in all shards, if that is in another component; each component keeps the pair that most of its shards name, and that pair is verified. Groups of copies
    fall together in a few rounds, at one pair per component and round, so they don't become all their pairs. Rounds
    end when none finds a link; what they leave open, and only that, is searched in full:
 4. Count vectors. Shingles are hashed into `DIMENSIONS` groups; the counts are a point. The overlap of two sets is at
@@ -212,24 +212,23 @@ def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, root, id) in order: for each component of a shard but the lowest, (its root, lowest id of the shard's lowest component, its own lowest id)."""
+    """Rows (key, root, id) by key and falling score: for each component of a shard but that of its first document, (its root, that document, its own first document)."""
     for t in _runs(batches):
         key, root, node = (t.column(c).to_numpy() for c in ("key", "root", "id"))
-        new_key = np.append(True, key[1:] != key[:-1])
-        new_part = new_key.copy()
-        new_part[1:] |= root[1:] != root[:-1]
-        lead = node[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]
-        at = new_part & ~new_key
-        yield pa.RecordBatch.from_arrays([pa.array(root[at]), pa.array(lead[at]), pa.array(node[at])], ["root", "a", "b"])
+        run = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        _, first = np.unique(np.stack([run, root]), axis=1, return_index=True)
+        at = first[root[first] != root[heads][run[first]]]
+        yield pa.RecordBatch.from_arrays([pa.array(root[at]), pa.array(node[heads][run[at]]), pa.array(node[at])], ["root", "a", "b"])
 
 
 def _keep_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, root, id) in order: those of keys with several roots."""
+    """Rows in order of key: those of keys with several roots."""
     for t in _runs(batches):
         key, root = t.column("key").to_numpy(), t.column("root").to_numpy()
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(starts, len(key)))
-        several = np.repeat(root[starts] != root[starts + sizes - 1], sizes)
+        several = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)
         if several.any():
             yield from t.filter(pa.array(several)).combine_chunks().to_batches(1 << 16)
 
@@ -345,9 +344,12 @@ def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col
     likely = own.filter("id is not null").select("id", "text", F.xxhash64("id").alias("v")).mapInArrow(maybe_active, "id long, text string")
     features = cut(likely.join(active, "id", "left_semi").select("id", "text").mapInArrow(features_of, "id long, n long, vector binary, found array<long>"))
 
-    # rows (key, root, id) of shards that hold several components. A shard's rows stay together and in order from here
-    # on, in the checkpointed partitions too; what is closed never opens again
-    opened = shared.select("key", F.col("id").alias("root"), "id")
+    # rows (key, root, id, score) of shards that hold several components, the best known document first: its score is the
+    # number of documents it meets in all shards, so the text that others are edited from leads. A shard's rows stay
+    # together and in order, in the checkpointed partitions too; what is closed never opens again
+    met = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("id").agg(F.sum("m").alias("score"))
+    ordered_rows = lambda df: df.repartition("key").sortWithinPartitions("key", F.desc("score"), "id")
+    opened = cut(ordered_rows(shared.join(met, "id").select("key", F.col("id").alias("root"), "id", "score")))
     links, roots, tried = None, None, None
     for _ in range(ROUNDS):
         named = opened.mapInArrow(_name_pairs, "root long, a long, b long").filter("a <> b")
@@ -361,10 +363,10 @@ def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col
         if new.isEmpty():
             break
         roots = cut(components(links))
-        moved = opened.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "id")
-        opened = cut(moved.repartition("key").sortWithinPartitions("key", "root", "id").mapInArrow(_keep_open, "key long, root long, id long"))
+        moved = opened.select("key", "id", "score").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "id", "score")
+        opened = cut(ordered_rows(moved).mapInArrow(_keep_open, "key long, root long, id long, score long"))
         release(spark)
-    still = opened.join(features.select("id", "n", "vector"), "id")
+    still = opened.select("key", "root", "id").join(features.select("id", "n", "vector"), "id")
     survivors = still.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "n", "vector", "root").mapInArrow(_searcher(percent), "a long, b long").filter("a <> b")
     ordered = survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_verify(cut(ordered), features, percent))
