@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages that an earlier document has; documents of which nothing is left go, and n_chars follows the text."""
-    cut = substring_dedup.dedup(docs)
+    cut = substring_dedup.dedup(docs, line_words=1)
     left = cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.size("removed") == 0))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

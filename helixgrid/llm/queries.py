@@ -73,7 +73,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), line_words=1).select("doc_id", "text", "removed")
 
 
 @_query("op6_toxicity")

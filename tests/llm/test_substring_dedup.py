@@ -66,3 +66,29 @@ def test_defined_cases(spark):
     assert (1, None) in rows and (2, "") in rows and rows.count((3, long)) == 2 and (None, long) in rows
     assert len(next(t for i, t in rows if i == 4)) < 120 and len(next(t for i, t in rows if i == 5)) < 240
     assert S.dedup(df.limit(0)).count() == 0
+
+
+def test_short_lines_go_as_a_whole(spark):
+    rng = random.Random(13)
+    license = "Licensed under the Apache License, Version 2.0"
+    tops = [prose(rng, 30).replace("\n", " ") for _ in range(6)]
+    texts = [f"{tops[0]}\n{license}\n{tops[1]}", f"{tops[2]}\n  {license.upper()}\n{tops[3]}", f"{tops[4]}\nEnd\n", f"End.\n{tops[5]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in S.dedup(df, line_words=1).orderBy("doc_id").collect()]
+    assert got == [texts[0], f"{tops[2]}\n  \n{tops[3]}", texts[2], f".\n{tops[5]}"]
+
+
+def test_passages_go_to_their_ends(spark):
+    rng = random.Random(17)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(n))
+    docs, want = [], []
+    for i in range(60):
+        p, *around = plain(rng.randint(60, 200)), plain(25), plain(20), plain(30), plain(35)
+        docs += [(2 * i, f"{around[0]} {p} {around[1]}"), (2 * i + 1, f"{around[2]} {p.replace(' ', chr(10), i % 3)} {around[3]}")]
+        want += [docs[-2][1], f"{around[2]}  {around[3]}"]
+    # the occurrence that stays in the same text stays whole
+    own = plain(60)
+    docs.append((1000, f"{own} {own}"))
+    want.append(f"{own} ")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r.text for r in S.dedup(df).orderBy("doc_id").collect()] == want
