@@ -50,7 +50,7 @@ class Units(NamedTuple):
     end: np.ndarray  # end word
     digest: np.ndarray  # odd for lines
     anchors: np.ndarray  # words at which units begin or may end
-    hashes: np.ndarray  # of the words, cut to 32 bits
+    hashes: np.ndarray  # of the words, cut to 3 bytes: only neighbours of equal units are compared by them
     words: object
 
 
@@ -67,7 +67,7 @@ def all_units(b: Block, anchor: int = ANCHOR, unit_words: int = UNIT_WORDS, line
     n = len(w.starts)
     none = np.zeros(0, np.int64)
     if not n:
-        return Units(none, none, none, none.view(np.uint64), none, np.zeros(0, np.uint32), w)
+        return Units(none, none, none, none.view(np.uint64), none, np.zeros((0, 3), np.uint8), w)
     h = word_hashes(data, w.starts, w.ends)
     with np.errstate(over="ignore"):
         pair = np.empty(n, np.uint64)
@@ -101,7 +101,7 @@ def all_units(b: Block, anchor: int = ANCHOR, unit_words: int = UNIT_WORDS, line
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(h * up[:n], out=sums[1:])
         digest = mix((sums[end] - sums[at]) * down[at] + (end - at).astype(np.uint64)) & ~np.uint64(1) | is_line
-    return Units(w.text[at], at, end, digest, anchors, (h >> np.uint64(32)).astype(np.uint32), w)
+    return Units(w.text[at], at, end, digest, anchors, h.view(np.uint8).reshape(-1, 8)[:, :3], w)
 
 
 def beside(u: Units, j: int, unit_words: int) -> tuple[bytes, bytes]:
@@ -118,7 +118,7 @@ def beside(u: Units, j: int, unit_words: int) -> tuple[bytes, bytes]:
 def alike(own: np.ndarray, other: np.ndarray) -> int:
     """Number of leading words that are the same."""
     n = min(len(own), len(other))
-    differ = np.flatnonzero(own[:n] != other[:n])
+    differ = np.flatnonzero((own[:n] != other[:n]).any(axis=1))
     return int(differ[0]) if len(differ) else n
 
 
@@ -269,7 +269,7 @@ def going(u: Units, text: int, lines: list, parts: list, min_words: int) -> list
                 z, tail = parts[k][1], parts[k][2]
             k += 1
         least = max(lo, lo + head["own_end"])
-        before, after = np.frombuffer(head["before"], np.uint32), np.frombuffer(tail["after"], np.uint32)
+        before, after = (np.frombuffer(x, np.uint8).reshape(-1, 3) for x in (head["before"], tail["after"]))
         if a > least:
             a -= alike(u.hashes[least:a][::-1], before[::-1])
         z += alike(u.hashes[z:hi], after)
