@@ -25,7 +25,7 @@ SHORT = ("ACGT", "GGTA", "TTTTT")
 def reads(s: SparkSession, d: str) -> DataFrame:
     """The reads of `fq` with qualities; its letters beyond the map are ASCII-folded nowhere, as in SQL."""
     quality = F.expr("case when length(seq) > 0 then transform(sequence(0, length(seq) - 1), i -> cast((read_id * 3 + i * 7) % 41 as int)) else cast(array() as array<int>) end")
-    return load(s, d, X.FQ).select(F.lit(0).alias("file_idx"), F.col("read_id").alias("rec_no"), F.lit(1).alias("mate"), F.col("read_id").cast("string").alias("name"), "read_id", "seq", quality.alias("qual"))
+    return load(s, d, X.READS).select(F.lit(0).alias("file_idx"), F.col("read_id").alias("rec_no"), F.lit(1).alias("mate"), F.col("read_id").cast("string").alias("name"), "read_id", "seq", quality.alias("qual"))
 
 
 FIRST = "SELECT * FROM r ORDER BY read_id LIMIT 500"
@@ -156,16 +156,17 @@ def p12(s, d):
 
 
 BENCH = X.FQ.replace("doc_id", "item_id").replace("{documents}", "{benchmark}")
+ITEMS = X.READS.replace("doc_id", "item_id").replace("{documents}", "{benchmark}")
 
 
 @register("s13_reference_kmers", sql("SELECT DISTINCT kmer FROM (SELECT kmer FROM x UNION ALL SELECT translate(reverse(kmer), 'ACGT', 'TGCA') FROM x)", b=BENCH, x=_kmers(8, "b")))
 def s13(s, d):
-    return C.reference_kmers(load(s, d, BENCH), 8)
+    return C.reference_kmers(load(s, d, ITEMS), 8)
 
 
 @register("j8_kmer_hits", sql("SELECT read_id, count(*) AS hits FROM x WHERE kmer IN (SELECT kmer FROM k UNION ALL SELECT translate(reverse(kmer), 'ACGT', 'TGCA') FROM k) GROUP BY read_id HAVING count(*) >= 2", r=X.FQ, x=_kmers(8, "r"), b=BENCH, k=_kmers(8, "b")))
 def j8(s, d):
-    return C.kmer_hits(reads(s, d), C.reference_kmers(load(s, d, BENCH), 8), 8, 2, ["read_id"])
+    return C.kmer_hits(reads(s, d), C.reference_kmers(load(s, d, ITEMS), 8), 8, 2, ["read_id"])
 
 
 CONV = "SELECT conv_id, turn, concat(CASE WHEN conv_id % 10 = 0 AND turn % 2 = 1 THEN 'x' ELSE 'c' END, CAST(conv_id AS STRING), '/', CAST(1 + turn % 2 AS STRING)) AS name, turn // 2 AS pair_no FROM conversations"
