@@ -90,7 +90,7 @@ def a5(s, d):
 
 @register("a6_overrepresented", sql("SELECT seq, count(*) AS count FROM s GROUP BY seq ORDER BY count DESC, seq LIMIT 20", r=X.FQ, s="SELECT * FROM r WHERE length(translate(seq, 'ACGTN', '')) = 0"))
 def a6(s, d):
-    return Q.overrepresented(reads(s, d).filter("length(translate(seq, 'ACGTN', '')) = 0"), 20)
+    return Q.overrepresented(reads(s, d), 20)
 
 
 def _kmers(k: int, source: str) -> str:

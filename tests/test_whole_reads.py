@@ -33,3 +33,10 @@ def test_reads_are_whole(spark, tmp_path):
     assert {r[0] for r in run(spark, tmp_path, "s13_reference_kmers")} == known
     hits = {i: sum(k in known for k in kmers(s, 8)) for i, s in reads.items()}
     assert dict(run(spark, tmp_path, "j8_kmer_hits")) == {i: n for i, n in hits.items() if n >= 2}
+
+
+def test_overrepresented_counts_every_read(spark, tmp_path):
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n = Counter(seq(t) for _, t in TEXTS)
+    want = sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))
+    assert any("é" in s for s, _ in want) and run(spark, tmp_path, "a6_overrepresented") == want
