@@ -66,7 +66,7 @@ def u4(s, d):
 @register("t3_sorted_junctions", sql(f'SELECT contig, pos0 + 10 AS start, pos0 + 110 AS "end", count(*) AS reads FROM a WHERE l_linenumber % 4 = 2 AND {PRIMARY} GROUP BY contig, pos0 ORDER BY contig, pos0 LIMIT 100', a=X.ALNC))
 def t3(s, d):
     primary = alnc(s, d).filter(~G.flag_is("flag", 2308)).select("contig", F.explode(G.introns("cigar", "pos0")).alias("j"))
-    return primary.groupBy("contig", F.col("j.start").alias("start"), F.col("j.end").alias("end")).agg(F.count(F.lit(1)).alias("reads")).orderBy("contig", "start", "end").limit(100)
+    return primary.groupBy("contig", F.col("j.start").alias("start"), F.col("j.end").alias("end")).agg(F.count(F.lit(1)).alias("reads")).orderBy("contig", "start", "end")
 
 
 @register("t4_longest_gene", sql("SELECT chrom, gene_id, span FROM (SELECT chrom, gene_id, max(e2e) - min(e1s) AS span FROM e GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY span DESC, CAST(substr(gene_id, 2) AS INT)) = 1", t=T, e=ENDS))
