@@ -20,6 +20,8 @@ MEANQ = f"CASE WHEN length(seq) = 0 THEN 0 ELSE CAST(floor(list_sum({QUAL}) / le
 GC = "CASE WHEN length(seq) = 0 THEN 0 ELSE CAST(floor(100 * (length(seq) - length(translate(seq, 'GCgc', ''))) / length(seq)) AS INT) END"
 #: Short adapters that the fixture's reads do hold.
 SHORT = ("ACGT", "GGTA", "TTTTT")
+#: The reference's defaults; the SQL beside them has 500 and 5.
+SAMPLE, K = 1_000_000, 7
 
 
 def reads(s: SparkSession, d: str) -> DataFrame:
@@ -80,12 +82,12 @@ def a4(s, d):
 
 @register("w7_first_reads", sql("SELECT read_id, seq FROM s", r=X.FQ, s=FIRST))
 def w7(s, d):
-    return Q.sample(reads(s, d), 500).select("read_id", "seq")
+    return Q.sample(reads(s, d), SAMPLE).select("read_id", "seq")
 
 
 @register("a5_duplication", sql("SELECT count(*) AS sampled, count(DISTINCT seq) AS distinct_reads, 1 - count(DISTINCT seq) / count(*) AS duplication FROM s", r=X.FQ, s=FIRST))
 def a5(s, d):
-    return Q.duplication(Q.sample(reads(s, d), 500))
+    return Q.duplication(Q.sample(reads(s, d), SAMPLE))
 
 
 @register("a6_overrepresented", sql("SELECT seq, count(*) AS count FROM s GROUP BY seq ORDER BY count DESC, seq LIMIT 20", r=X.FQ, s="SELECT * FROM r WHERE length(translate(seq, 'ACGTN', '')) = 0"))
@@ -99,7 +101,7 @@ def _kmers(k: int, source: str) -> str:
 
 @register("a6_kmer_counts", sql("SELECT kmer, count(*) AS count FROM x GROUP BY kmer", r=X.FQ, s=FIRST, x=_kmers(5, "s")))
 def a6b(s, d):
-    return Q.kmer_counts(Q.sample(reads(s, d), 500), 5)
+    return Q.kmer_counts(Q.sample(reads(s, d), SAMPLE), K)
 
 
 HIST = "SELECT length(seq) AS length, count(*) AS count FROM r GROUP BY 1"

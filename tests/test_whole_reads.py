@@ -40,3 +40,11 @@ def test_overrepresented_counts_every_read(spark, tmp_path):
     n = Counter(seq(t) for _, t in TEXTS)
     want = sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))
     assert any("é" in s for s, _ in want) and run(spark, tmp_path, "a6_overrepresented") == want
+
+
+def test_samples_of_the_reference_hold_all_of_few_reads(spark, tmp_path):
+    texts = [(i, f"Ab c{'xyz' * (i % 600)}") for i in range(700)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(run(spark, tmp_path, "w7_first_reads")) == 700
+    assert run(spark, tmp_path, "a5_duplication") == [(700, 600, 1 - 600 / 700)]
+    assert dict(run(spark, tmp_path, "a6_kmer_counts")) == Counter(k for _, t in texts for k in kmers(seq(t), 7))
