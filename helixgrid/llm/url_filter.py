@@ -3,10 +3,11 @@
 Rules name a host with its subdomains and a path prefix; the longest that fits judges the url. The host graph has an
 edge for the links from pages of one host to another, weighted by their number. Trust is a personalised PageRank from
 the hosts that rules mostly allow, along the links; distrust one from the hosts that rules mostly block, along the
-reversed links. A host is blocked where distrust is more than `threshold` parts of trust and distrust together and
-more than `floor` millionths of all mass; a host that no seed reaches is allowed.
+reversed links. A host is blocked where distrust is more than `threshold` parts of trust and distrust together,
+however small they are; a host that no seed reaches is allowed. Ranks are iterated until all changes of five steps
+together are below one seed's mass divided by `TOLERANCE`.
 
-Both ranks run in one loop over (direction, host) and in integers, so results don't depend on the order of sums.
+Both ranks run in one loop over (direction, host) and in whole numbers, so results don't depend on the order of sums.
 Per step there is one join of ranks to edges and one sum per host; all links between two hosts are one edge, summed
 before the shuffle, and the graph is read from the shared checkpoint folder. No Python runs on the executors.
 
@@ -29,9 +30,14 @@ from helixgrid.llm.session import cut
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 MASS = 10**12
 DAMPING = 85  # of a hundred
+#: Parts of a part of MASS that ranks are counted in; steps go on until five move less than a seed's mass / TOLERANCE.
+FINE = 10**12
+TOLERANCE = 10**6
+PARTS = "decimal(26,0)"
+#: Of the SQL only.
 STEPS = 10
 THRESHOLD = 50  # of a hundred
-FLOOR = 1  # of a million
+FLOOR = 1  # of a million; of the SQL only
 HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
@@ -67,8 +73,8 @@ def host_edges(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: int = DAMPING) -> DataFrame:
-    """edges: src, dst, links; seeds: host, trusted (boolean). Returns host, trust, distrust (parts of MASS)."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: int = DAMPING) -> DataFrame:
+    """edges: src, dst, links; seeds: host, trusted (boolean). Returns host, trust, distrust (parts of MASS * FINE, as decimals)."""
     spread = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.lit(1).alias("way"), F.col("dst").alias("a"), F.col("src").alias("b"))))
     both = edges.select(spread.alias("e"), "links").select("e.way", "e.a", "e.b", "links")
     out = both.groupBy("way", "a").agg(F.sum("links").alias("all_links"))
@@ -76,31 +82,38 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: i
     start = seeds.select(F.when(F.col("trusted"), 0).otherwise(1).alias("way"), "host")
     counts = start.groupBy("way").agg(F.count(F.lit(1)).alias("n"))
     base = cut(start.join(F.broadcast(counts), "way").select("way", "host", F.expr(f"{MASS} div n").alias("seed")))  # two rows
-    rank = base.select("way", "host", F.col("seed").alias("mass"))
-    for step in range(1, steps + 1):
-        sent = graph.alias("g").join(rank.alias("r"), F.expr("g.way = r.way and g.a = r.host")).select("g.way", F.col("g.b").alias("host"), F.expr(f"({damping} * mass div 100) div all_links * links").alias("mass"))
-        kept = base.select("way", "host", F.expr(f"{100 - damping} * seed div 100").alias("mass"))
-        rank = sent.unionByName(kept).groupBy("way", "host").agg(F.sum("mass").alias("mass"))
-        if step % 5 == 0:
-            rank = cut(rank)
-    part = lambda way: F.sum(F.when(F.col("way") == way, F.col("mass")).otherwise(0))
+    fine = F.lit(FINE).cast("decimal(13,0)")
+    kept = base.select("way", "host", (F.expr(f"{100 - damping} * seed div 100").cast("decimal(13,0)") * fine).cast(PARTS).alias("mass"))
+    rank = base.select("way", "host", (F.col("seed").cast("decimal(13,0)") * fine).cast(PARTS).alias("mass"))
+    least = base.agg(F.min("seed")).first()[0]
+    done = least is None
+    while not done:
+        last = rank
+        for _ in range(5):
+            share = F.floor(F.col("mass") * damping / 100).cast("decimal(26,0)") * F.col("links").cast("decimal(11,0)")
+            sent = graph.alias("g").join(rank.alias("r"), F.expr("g.way = r.way and g.a = r.host")).select("g.way", F.col("g.b").alias("host"), F.floor(share / F.col("all_links").cast("decimal(11,0)")).cast(PARTS).alias("mass"))
+            rank = sent.unionByName(kept).groupBy("way", "host").agg(F.sum("mass").cast(PARTS).alias("mass"))
+        rank = cut(rank)
+        moved = last.select("way", "host", (-F.col("mass")).alias("mass")).unionByName(rank).groupBy("way", "host").agg(F.abs(F.sum("mass")).alias("moved"))
+        done = (moved.agg(F.sum("moved")).first()[0] or 0) * TOLERANCE < least * FINE
+    part = lambda way: F.sum(F.when(F.col("way") == way, F.col("mass")).otherwise(F.lit(0).cast(PARTS)))
     return rank.groupBy("host").agg(part(0).alias("trust"), part(1).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: int = DAMPING, threshold: int = THRESHOLD, floor: int = FLOOR, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: int = DAMPING, threshold: int = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Columns: id_col, host, path, rule, verdict, trust, distrust."""
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"))
     votes = judged.filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     seeds = votes.filter("2 * blocked > n or 2 * allowed > n").select("host", F.expr("2 * allowed > n").alias("trusted"))
-    ranks = propagate(host_edges(pages, host, html_col), seeds, steps, damping)
-    by_method = F.when((F.col("distrust") * 100 > (F.col("trust") + F.col("distrust")) * threshold) & (F.col("distrust") * 1_000_000 > F.lit(floor) * MASS), "block").otherwise("allow")
-    out = judged.join(ranks, "host", "left").select("id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
+    ranks = propagate(host_edges(pages, host, html_col), seeds, damping)
+    by_method = F.when(F.col("distrust") * 100 > (F.col("trust") + F.col("distrust")) * threshold, "block").otherwise("allow")
+    out = judged.join(ranks, "host", "left").select("id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), *[F.coalesce(F.floor(F.col(c) / FINE).cast("long"), F.lit(0)).alias(c) for c in ("trust", "distrust")])
     return out.withColumnRenamed("id", id_col)
 
 
 def oracle(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: int = DAMPING, threshold: int = THRESHOLD, floor: int = FLOOR) -> str:
-    """The same in DuckDB over the view `pages`."""
+    """DuckDB over the view `pages`: STEPS steps, a floor and shares cut to parts of MASS, which judge() has no more. The same where no host links to another."""
     low = lambda x: f"translate({x}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     values = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in rules)
     ctes = [

@@ -29,3 +29,14 @@ def test_equals_sql(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge(df).count() == 0
+
+
+def test_far_hosts_and_small_shares_count(spark):
+    chain = [(i, f"http://h{i}.test/", link(f"http://h{i - 1}.test/")) for i in range(1, 25)]
+    hub = [(1000 + i, f"http://s{i}.test/", link("http://bad.net/")) for i in range(300)]
+    heavy = [(2000, "http://t.test/", link(*[f"http://bad.net/{i}" for i in range(50)]))]
+    pages = [(0, "http://h0.test/", link("http://bad.net/")), (500, "http://bad.net/", "")] + chain + hub + heavy
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {p[0]: "block" for p in pages}
+    assert got[1000].distrust > 0 and abs(got[2000].distrust - 50 * got[1000].distrust) <= 50
+    assert got[11].distrust > 0 and all(got[i].distrust <= got[i - 1].distrust for i in range(1, 25))
