@@ -132,6 +132,7 @@ def score_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     bits = int(np.log2(len(model.slots)))
     pred, score = np.full(len(texts), -1), np.zeros(len(texts))
+    plain = np.zeros(len(texts), bool)  # has a letter of a to z
     for x in blocks(texts):
         gram, text = grams(x.data, x.offsets)
         if not len(gram) or not model.languages:
@@ -141,6 +142,9 @@ def score_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
         for p in rest:
             mask = mask & model.slots[p]
         total = np.bincount(text, minlength=x.size)
+        low = LOWER[x.data]
+        letters = np.append(0, np.cumsum((low >= ord("a")) & (low <= ord("z"))))[x.offsets]
+        plain[x.first : x.first + x.size] = letters[1:] > letters[:-1]
         best = np.zeros(x.size)
         who = np.full(x.size, -1)
         for i, f in enumerate(model.false_rate):
@@ -153,8 +157,8 @@ def score_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     names = [*model.languages, UNKNOWN]
     got = [names[i] for i in pred]
     # bytes beyond ASCII need not be letters; only texts that have no letter of a to z are in doubt
-    for i in np.flatnonzero(pred >= 0):
-        if score[i] < 0.5 and not any(c.isalpha() for c in texts[int(i)].as_py()):
+    for i in np.flatnonzero((pred >= 0) & ~plain):
+        if not any(c.isalpha() for c in texts[int(i)].as_py()):
             got[i], score[i] = UNKNOWN, 0.0
     return got, np.clip(score, 0.0, 1.0)
 

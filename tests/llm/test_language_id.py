@@ -37,3 +37,11 @@ def test_defined_cases(spark):
     nothing = L.train(df.limit(0), F.lit(True))
     assert {r.lang_pred for r in L.predict(odd, nothing).collect()} == {"und"}
     assert L.predict(odd.limit(0), model).count() == 0
+
+
+def test_known_marks_are_no_letters(spark):
+    rows = [(i, "— “ ” — " * 5 + ("lorem" if i < 20 else "été"), "xx") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "— “ ” —"), (2, "été — “"), (3, "— lorem —")], "doc_id long, text string")
+    got = [(r.doc_id, r.lang_pred, r.score > 0) for r in L.predict(odd, L.train(df, F.lit(True))).orderBy("doc_id").collect()]
+    assert got == [(1, "und", False), (2, "xx", True), (3, "xx", True)]
