@@ -149,9 +149,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all their columns, that contain no item."""
-    bad = contained(docs, benchmark, percent, doc_id).select(F.col(doc_id).alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col("_bad"), "left_anti")
+    """The rows of docs, with all their columns, that contain no item. Rows that share an id go together; those without one go by their own text."""
+    key = F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.concat(F.lit("n"), F.sha2("text", 256)))  # null for no id and no text
+    bad = contained(docs.select(key.alias("_key"), "text"), benchmark, percent, "_key").select(F.col("_key").alias("_bad")).distinct()
+    return docs.join(bad, key == F.col("_bad"), "left_anti")
 
 
 _SHINGLES = r"""

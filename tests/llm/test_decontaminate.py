@@ -52,3 +52,10 @@ def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.contained(d.limit(0), b).count() == 0 and D.contained(d, b.limit(0)).count() == 0 and D.contained(d, b).count() == 1
+
+
+def test_rows_without_an_id_are_judged_each(spark):
+    item = prose(random.Random(5), 30)
+    d = spark.createDataFrame([(None, "a " + item), (None, "clean"), (None, None), (7, item), (8, "a clean row")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((str(r.doc_id), str(r.text)) for r in D.clean(d, b).collect()) == [("8", "a clean row"), ("None", "None"), ("None", "clean")]
