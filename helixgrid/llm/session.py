@@ -11,23 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helixgrid.shipping import ship
 
-#: Rows an Arrow batch holds at most: texts can be long, and a Python worker holds whole batches.
+#: Rows and bytes an Arrow batch holds at most: texts can be long, and a Python worker holds whole batches.
 ARROW_ROWS = 512
+ARROW_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ships the package to Python workers and bounds Arrow batches for long texts."""
+    """Ships the package to Python workers and bounds Arrow batches for long texts.
+
+    The two settings stay on the session, since DataFrames are computed after the call that made them.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) is a local one made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) gets one made where it is unset."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     sc = spark.sparkContext
     if not got:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="helixgrid-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(got)
