@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixgrid.llm.session import cut, release
+from helixgrid.llm.session import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_flat(e: DataFrame) -> bool:
+    """Whether every node has one edge up, to a node that has none."""
+    seen = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+    return seen.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).filter("ups > 1 or (ups > 0 and least = 0)").isEmpty()
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -31,14 +33,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """edges: two columns of one orderable type. Columns: node, root; for every node with an edge to another, the smallest node it reaches (roots included)."""
     a, b = edges.columns
     e = cut(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = _mark(e)
     for _ in range(rounds):
-        e = cut(_small_star(_large_star(e)))
-        now = _mark(e)
-        if now == before:
+        if _is_flat(e):
             break
-        before = now
-        release(edges.sparkSession)
+        e = cut(_small_star(_large_star(e)))
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -3,29 +3,31 @@
 A document's set is that of its distinct `SHINGLE`-word shingles (of its whole word sequence, if it has fewer words);
 words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Two documents link if 100 * intersection >= percent * union.
 
-1. Documents with equal sets are one class; the smallest id stands for it. Set digests are pre-aggregated.
-2. Shards. Linked sets differ in few shingles: at most (100 - percent) / (100 + percent) of the sum of their sizes.
-   Sets are put into size classes (their own and the next, so that linked sets share one); in a class whose largest
-   pair may differ in H shingles, shingles are hashed into more than H groups, so at least one group holds the same
-   shingles on both sides. A shard is what agrees in (size class, group, the group's shingles). Up to `GROUPS` groups
-   all serve; where there are more, `GROUPS` of them do, of which at least 44 % are expected to agree, which misses a
-   linked pair with a probability below 1e-12.
-3. Merging rounds. In each shard every component (at first: every document) names one pair with the document that
-   meets most others in all shards, if that is in another component; each component keeps the pair that most of its shards name, and that pair is verified. Groups of copies
-   fall together in a few rounds, at one pair per component and round, so they don't become all their pairs. Rounds
-   end when none finds a link; what they leave open, and only that, is searched in full:
-4. Count vectors. Shingles are hashed into `DIMENSIONS` groups; the counts are a point. The overlap of two sets is at
+1. Documents with equal sets are one class: the node of the graph. Set digests are pre-aggregated.
+2. Shards say which nodes share an R-tree. Linked sets differ in few shingles: at most (100 - percent) / (100 + percent)
+   of the sum of their sizes. Sets are put into size classes (their own and the next, so that linked sets share one); in
+   a class whose largest pair may differ in H shingles, shingles are hashed into more than H groups, so at least one
+   group holds the same shingles on both sides. A shard is what agrees in (size class, group, the group's shingles). A
+   group without shingles says nothing: a set with such a group is dealt out once more by other groups, up to `SEEDS`
+   times. Up to `groups` groups all serve; where there are more, that many of them do, of which at least 44 % are
+   expected to agree, which misses a linked pair with a probability below 1e-12 for the default (0: all groups serve).
+3. Count vectors. Shingles are hashed into `DIMENSIONS` groups; the counts are a point. The overlap of two sets is at
    most the sum of the coordinates' minima; that of a set with all points under a node of an R-tree is at most the sum
-   of minima with the node's upper corner. Each shard that still holds several components is searched by a bulk-loaded
-   R-tree with that bound, and every surviving pair of different components is verified by the exact intersection. So
-   no link between components is lost.
-
-Shard rows are 16 bytes; sets travel only for documents that share a shard, and to the task that verifies a pair: rows
-are dealt by the first document and a salt, and streamed past its set.
+   of minima with the node's upper corner. A shard is cut into blocks of `BLOCK` nodes, each a bulk-loaded R-tree.
+4. First search: the node nearest to a block's mean leads; what the tree finds for it may link with it and leaves the
+   block, and so on. A node thus names one pair in a block, however many copies it has there, and keeps the one most
+   of its blocks name. The leads of a shard's blocks are searched among themselves. The pairs are verified by the exact
+   intersection, and components are merged.
+5. Second search: in shards that still hold several components, the tree finds for each node outside the largest one
+   all that may link and lie in another component; in a shard of several blocks such nodes visit each block. All
+   surviving pairs are verified. So no link between components is lost.
+
+Shard rows are 20 bytes; sets travel only for nodes that share a shard, and to the task that verifies a pair: rows
+are dealt by the first node and one of `SALTS` salts, and streamed past its set.
 
 Defined cases: null and empty texts have an empty set, link with nothing and are their own component; ids are
-documents: rows that repeat an id are one node, each row keeping its own set size; a null id has a null component;
-other columns are dropped; an empty table gives an empty table.
+documents: rows that repeat an id are joined, whatever their texts, each row keeping its own set size; a null id has a
+null component and links nothing; other columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,19 +39,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from helixgrid.llm.components import components
 from helixgrid.llm.decontaminate import _filter, _holds
-from helixgrid.llm.session import cut, prepare, release
+from helixgrid.llm.session import cut, prepare, unused
 from helixgrid.llm.textkernel import LOWER, SPACE, blocks, mix, shingles, word_hashes, words
 
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 48
 DIMENSIONS = 256
-ROUNDS = 6
+SEEDS = 8
 FANOUT = 16
-SALT_ROWS = 4_096
+BLOCK = 4_096
+#: Shards of up to so many nodes are one leaf: their bounds are taken many shards at a time.
+LEAF = 16
+SALTS = 256
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -75,10 +81,10 @@ def sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Sizes:
-    """Size classes: (upper bound, groups) of each."""
+    """Size classes: (upper bound, groups) of each, of which `serve` serve (0: all)."""
 
-    def __init__(self, percent: int, most: int = 1 << 40) -> None:
-        self.percent = percent
+    def __init__(self, percent: int, serve: int = GROUPS, most: int = 1 << 40) -> None:
+        self.percent, self.serve = percent, serve or most
         # below this size, sets that differ can't link
         self.least = next(n for n in range(1, 1 << 20) if (n - 1) * 100 >= percent * n) - 1 if percent < 100 else most
         self.upper, self.groups = [], []
@@ -86,7 +92,7 @@ class Sizes:
         while not self.upper or self.upper[-1] < most:
             self.upper.append(u)
             differ = 2 * u * (100 - percent) // (100 + percent)
-            self.groups.append(differ + 1 if differ < GROUPS else max(differ + 1, differ * 5 // 4))
+            self.groups.append(differ + 1 if differ < self.serve else max(differ + 1, differ * 5 // 4))
             u = max(u + 1, -(-u * 100 // percent))
         self.upper_array = np.array(self.upper)
 
@@ -95,8 +101,8 @@ class Sizes:
 
 
 @functools.lru_cache(maxsize=8)
-def size_classes(percent: int) -> Sizes:
-    return Sizes(percent)
+def size_classes(percent: int, serve: int = GROUPS) -> Sizes:
+    return Sizes(percent, serve)
 
 
 def shard_keys(found: np.ndarray, sizes: Sizes) -> np.ndarray:
@@ -107,18 +113,22 @@ def shard_keys(found: np.ndarray, sizes: Sizes) -> np.ndarray:
     out = []
     for i in (sizes.of(n), sizes.of(n) + 1):
         k = sizes.groups[i]
-        with np.errstate(over="ignore"):
-            spread = mix(found ^ np.uint64((i + 1) * _GOLD % (1 << 64)))
-            group = (spread >> np.uint64(20)) % np.uint64(k)
-            used = min(k, GROUPS)
-            mine = group < used
-            g = group[mine].astype(np.int64)
-            content = np.zeros(used, np.uint64)
-            np.add.at(content, g, mix(spread[mine] + np.uint64(1)))
-            here = np.arange(used)
-            if k > GROUPS:  # an empty group says little, and enough others agree
-                here = here[np.bincount(g, minlength=used) > 0]
-            out.append(mix(content[here] ^ mix((here.astype(np.uint64) + np.uint64(i << 20)) * np.uint64(_GOLD))))
+        used = min(k, sizes.serve)
+        for seed in range(SEEDS):
+            with np.errstate(over="ignore"):
+                spread = mix(found ^ np.uint64((i * SEEDS + seed + 1) * _GOLD % (1 << 64)))
+                group = (spread >> np.uint64(20)) % np.uint64(k)
+                mine = group < used
+                g = group[mine].astype(np.int64)
+                content = np.zeros(used, np.uint64)
+                np.add.at(content, g, mix(spread[mine] + np.uint64(1)))
+                full = np.bincount(g, minlength=used) > 0
+                again = k <= sizes.serve and not full.all()
+                # an empty group counts only where every seed leaves one; of many groups enough others agree
+                here = np.arange(used) if again and seed == SEEDS - 1 else np.flatnonzero(full)
+                out.append(mix(content[here] ^ mix((here.astype(np.uint64) + np.uint64((i * SEEDS + seed) << 20)) * np.uint64(_GOLD))))
+            if not again:
+                break
     return np.concatenate(out)
 
 
@@ -160,19 +170,177 @@ class RTree:
         return self.order[at]
 
 
-def _open_pairs(roots: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """All survivors of a shard between different components."""
-    kinds, inverse, count = np.unique(roots, return_inverse=True, return_counts=True)
-    if len(kinds) < 2:
-        return []
-    small = np.flatnonzero(inverse != count.argmax())  # each pair has a side outside the largest component
-    tree = RTree(points, sizes)
-    out = set()
-    for i in small:
-        got = tree.search(points[i], sizes[i], percent)
-        for j in got[inverse[got] != inverse[i]]:
-            out.add((min(int(i), int(j)), max(int(i), int(j))))
-    return sorted(out)
+def unpack(stored: pa.Array) -> np.ndarray:
+    """Points of rows: counts, or for a set of fewer than DIMENSIONS shingles the group of each."""
+    offsets = np.frombuffer(stored.buffers()[1], np.int32)[stored.offset : stored.offset + len(stored) + 1].astype(np.int64)
+    data = np.frombuffer(stored.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    size = np.diff(offsets)
+    out = np.zeros((len(stored), DIMENSIONS), np.uint8)
+    counts = size == DIMENSIONS
+    by_byte = np.repeat(counts, size)
+    out[counts] = data[by_byte].reshape(-1, DIMENSIONS)
+    row = np.repeat(np.arange(len(stored)), size)[~by_byte]
+    return out + np.bincount(row * DIMENSIONS + data[~by_byte], minlength=out.size).astype(np.uint8).reshape(out.shape)
+
+
+def pack(found: np.ndarray) -> bytes:
+    """What unpack reads."""
+    return ((found >> np.uint64(7)) % np.uint64(DIMENSIONS)).astype(np.uint8).tobytes() if len(found) < DIMENSIONS else vector(found).tobytes()
+
+
+def bounds(points: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the overlap of rows i and j may suffice."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        least = np.minimum(sizes[a], sizes[b])
+        most = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
+        most = np.where((points[a, 0] == 255) | (points[b, 0] == 255), least, np.minimum(most, least))
+        out[at : at + (1 << 14)] = enough(sizes[a], sizes[b], most, percent)
+    return out
+
+
+def _leaf_pairs(run: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j), i first, of the runs of at most LEAF rows. run: number of the run of each row, ascending; size: of each run."""
+    small = size[run] <= LEAF
+    left, right = [], []
+    for d in range(1, LEAF):
+        i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:])) if len(run) > d else np.zeros(0, np.int64)
+        left.append(i)
+        right.append(i + d)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def lead_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], int]:
+    """(leading row, row that may link with it), each row named once at most; and the first to lead."""
+    tree, left, out, first, alone = RTree(points, sizes), np.ones(len(points), bool), [], -1, False
+    while left.any():
+        rows = np.flatnonzero(left)
+        if alone:  # the last lead found nothing: a middle says little here
+            lead = int(rows[0])
+        else:
+            lead = int(rows[np.abs(points[rows] - points[rows].mean(axis=0, dtype=np.float32)).sum(axis=1).argmin()])
+        first = lead if first < 0 else first
+        got = tree.search(points[lead], sizes[lead], percent)
+        got = got[left[got]]
+        out += [(lead, int(x)) for x in got if x != lead]
+        alone = len(got) < 2
+        left[got] = False
+        left[lead] = False
+    return out, first
+
+
+def _first_search(percent: int):
+    """Rows (cell, key, block, several, node, n, point) in order of cell: pairs (a, b) with key null; and, of shards of several blocks, (a, null, key) for the lead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            cell, node, n, several, shard = (t.column(c).to_numpy() for c in ("cell", "node", "n", "several", "key"))
+            points = unpack(t.column("point").combine_chunks())
+            cuts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+            size = np.diff(cuts)
+            i, j = _leaf_pairs(np.repeat(np.arange(len(size)), size), size)
+            good = bounds(points, n, i, j, percent)
+            i, j = i[good], j[good]
+            # in a small block each row names the first that it may link with
+            order = np.lexsort((i, j))
+            i, j = i[order], j[order]
+            head = np.append(True, j[1:] != j[:-1]) if len(j) else np.zeros(0, bool)
+            a, b = [node[i[head]]], [node[j[head]]]
+            leads = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > LEAF:
+                    pairs, first = lead_pairs(points[lo:hi], n[lo:hi], percent)
+                    if pairs:
+                        x = np.array(pairs) + lo
+                        a.append(node[x[:, 0]])
+                        b.append(node[x[:, 1]])
+                    if several[lo]:
+                        leads.append((int(node[lo + first]), int(shard[lo])))
+                elif several[lo]:
+                    leads.append((int(node[lo]), int(shard[lo])))
+            yield _named(np.concatenate(a), np.concatenate(b), leads)
+
+    return run
+
+
+def _named(a: np.ndarray, b: np.ndarray, leads: list[tuple[int, int]]) -> pa.RecordBatch:
+    none = len(leads)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.append(a, np.array([x for x, _ in leads], np.int64))), pa.array([*b.tolist(), *[None] * none], pa.int64()), pa.array([*[None] * len(a), *[k for _, k in leads]], pa.int64())],
+        ["a", "b", "key"],
+    )
+
+
+def _lead_search(percent: int):
+    """Rows (key, node, n, point) of leads in order of key: pairs (a, b). A shard's leads are taken BLOCK at a time, the first with each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_of, head = None, None
+        for t in _runs(batches):
+            key, node, n = (t.column(c).to_numpy() for c in ("key", "node", "n"))
+            points = unpack(t.column("point").combine_chunks())
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                for at in range(lo, hi, BLOCK):
+                    to = min(hi, at + BLOCK)
+                    nodes, p, m = node[at:to], points[at:to], n[at:to]
+                    if key_of == key[lo]:
+                        nodes, p, m = np.append(head[0], nodes), np.concatenate([head[1], p]), np.append(head[2], m)
+                    pairs, first = lead_pairs(p, m, percent)
+                    key_of, head = key[lo], (nodes[first : first + 1], p[first : first + 1], m[first : first + 1])
+                    if pairs:
+                        x = np.array(pairs)
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes[x[:, 0]]), pa.array(nodes[x[:, 1]])], ["a", "b"])
+
+    return run
+
+
+def _second_search(percent: int):
+    """Rows (cell, node, n, point, root, guest) in order of cell: all survivors (a, b) of different components. A guest, of a shard of several blocks, looks for partners and is none, but in its own block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            cell, node, n, root, guest = (t.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "node", "n", "root", "guest"))
+            cuts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+            size = np.diff(cuts)
+            run_of = np.repeat(np.arange(len(size)), size)
+            opened = np.minimum.reduceat(root, cuts[:-1]) != np.maximum.reduceat(root, cuts[:-1])
+            if not opened.any():
+                continue
+            points = unpack(t.column("point").combine_chunks())
+            i, j = _leaf_pairs(run_of, size)
+            apart = (root[i] != root[j]) & ~(guest[i] & guest[j])
+            i, j = i[apart], j[apart]
+            good = bounds(points, n, i, j, percent)
+            found = [np.stack([node[i[good]], node[j[good]]])]
+            for lo, hi in zip(cuts[:-1][opened & (size > LEAF)], cuts[1:][opened & (size > LEAF)], strict=True):
+                for part in _open_pairs(root[lo:hi], guest[lo:hi], points[lo:hi], n[lo:hi], percent):
+                    found.append(node[lo + part])
+                    if sum(x.shape[1] for x in found) > 1 << 16:
+                        yield _pairs(found)
+                        found = []
+            if found:
+                yield _pairs(found)
+
+    return run
+
+
+def _open_pairs(root: np.ndarray, guest: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Survivors of a block between different components, as two rows of row numbers; a few at a time."""
+    home = np.flatnonzero(~guest)
+    kinds, inverse, count = np.unique(root[home], return_inverse=True, return_counts=True)
+    if not len(home):
+        return
+    # each pair has a side outside the block's largest component
+    asking = np.append(home[inverse != count.argmax()], np.flatnonzero(guest))
+    tree = RTree(points[home], sizes[home])
+    for i in asking:
+        got = home[tree.search(points[i], sizes[i], percent)]
+        got = got[root[got] != root[i]]
+        if len(got):
+            yield np.stack([np.full(len(got), i), got])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -199,74 +367,43 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id) in order: those of keys with several ids, once each."""
-    for t in _runs(batches):
-        key, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-        key, node = key[fresh], node[fresh]
-        same = key[1:] == key[:-1]
-        keep = np.append(same, False) | np.append(False, same)
-        for at in range(0, int(keep.sum()), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep][at : at + (1 << 16)]), pa.array(node[keep][at : at + (1 << 16)])], ["key", "id"])
-
-
-def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, root, id) by key and falling score: for each component of a shard but that of its first document, (its root, that document, its own first document)."""
-    for t in _runs(batches):
-        key, root, node = (t.column(c).to_numpy() for c in ("key", "root", "id"))
-        run = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        _, first = np.unique(np.stack([run, root]), axis=1, return_index=True)
-        at = first[root[first] != root[heads][run[first]]]
-        yield pa.RecordBatch.from_arrays([pa.array(root[at]), pa.array(node[heads][run[at]]), pa.array(node[at])], ["root", "a", "b"])
-
-
-def _keep_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key: those of keys with several roots."""
-    for t in _runs(batches):
-        key, root = t.column("key").to_numpy(), t.column("root").to_numpy()
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(starts, len(key)))
-        several = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)
-        if several.any():
-            yield from t.filter(pa.array(several)).combine_chunks().to_batches(1 << 16)
-
-
-def _searcher(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
-            key, ids, sizes, roots = (t.column(c).to_numpy() for c in ("key", "id", "n", "root"))
-            points = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
-            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            found = set()
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                for i, j in _open_pairs(roots[lo:hi], points[lo:hi], sizes[lo:hi], percent):
-                    found.add((int(ids[lo + i]), int(ids[lo + j])))
-                if len(found) >= 1 << 16:
-                    yield _pairs(found)
-                    found = set()
-            if found:
-                yield _pairs(found)
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) in order: (key, block, node) of keys with several nodes, each once. One row is held back, whatever the run's length."""
+    key, node, rank = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # the last row seen, and its number in its run
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, v = np.append(key, b.column(0).to_numpy()), np.append(node, b.column(1).to_numpy())
+        fresh = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]))
+        k, v = k[fresh], v[fresh]
+        start = np.append(True, k[1:] != k[:-1])
+        begin = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
+        at = np.arange(len(k)) - begin + np.where(begin == 0, rank, 0)
+        same = k[1:] == k[:-1]
+        keep = (at > 0) | np.append(same, False)
+        keep[-1] = False  # what follows it decides
+        yield from _numbered(k[keep], at[keep], v[keep])
+        key, node, rank = k[-1:], v[-1:], int(at[-1])
+    if len(key) and rank > 0:
+        yield from _numbered(key, np.array([rank]), node)
 
-    return run
 
+def _numbered(key: np.ndarray, at: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(key):
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((at // BLOCK).astype(np.int32)), pa.array(node)], ["key", "block", "node"])
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*sorted(found), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    x = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x[0].astype(np.int64)), pa.array(x[1].astype(np.int64))], ["a", "b"])
 
 
 def _verify(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Rows are dealt by a and a salt that grows with the number of its pairs."""
-    per_a = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    salts = per_a.select("a", F.explode(F.sequence(F.lit(0), (F.col("m") / SALT_ROWS).cast("int"))).alias("salt"))
-    left = salts.join(features.select(F.col("id").alias("a"), "found"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "found")
-    right = (
-        pairs.join(per_a, "a")
-        .select("a", "b", F.pmod(F.xxhash64("b"), (F.col("m") / SALT_ROWS).cast("int") + 1).cast("int").alias("salt"))
-        .join(features.select(F.col("id").alias("b"), "found"), "b").select("a", "salt", "b", "found")
-    )
+    """The pairs (a, b) that link. Rows are dealt by a and a salt of b; a's set goes once to each."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    known = features.select("node", "found")
+    left = salted.select("a", "salt").distinct().join(known, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "found")
+    right = salted.join(known, F.col("b") == F.col("node")).select("a", "salt", "b", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, who = None, None
@@ -291,96 +428,115 @@ def _verify(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     return streamed.select("a", "b", "found").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns: id_col, n_shingles, component_id. id_col is an integer column."""
+def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", groups: int = GROUPS) -> DataFrame:
+    """Columns: id_col, n_shingles, component_id. id_col is an integer column. groups = 0: no chance to miss a link, at more rows for long texts."""
+    return _link(docs, percent, shingle, id_col, text_col, groups)[0]
+
+
+def _link(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, groups: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """What link() returns, and the pairs of each step."""
     spark = prepare(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = size_classes(percent)
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{id_col} must be an integer column")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    sizes = size_classes(percent, groups)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, x, y = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
-            for i, found in sets(b.column(1), shingle):
+            for i, found in sets(b.column(2), shingle):
                 n[i], x[i], y[i] = len(found), mix(found ^ np.uint64(_GOLD)).sum(), mix(found + np.uint64(_GOLD)).sum()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["id", "n", "x", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["id", "t", "n", "x", "y"])
 
-    per_row = own.mapInArrow(digest, "id long, n long, x long, y long")
-    classes = cut(per_row.filter("n > 0").groupBy("n", "x", "y").agg(F.min("id").alias("rep")))
+    per_row = cut(own.mapInArrow(digest, "id long, t long, n long, x long, y long"))
+    usable = per_row.filter("n > 0 and id is not null")
+    # numbered once, when the checkpoint is written
+    classes = cut(usable.groupBy("n", "x", "y").agg(F.min("id").alias("id"), F.min_by("t", "id").alias("t")).select("*", F.monotonically_increasing_id().alias("node")))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            ids = b.column(0).to_numpy()
-            keys, nodes = [], []
+            nodes = b.column(0).to_numpy()
+            keys, own_nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, found in sets(b.column(1), shingle):
-                got = shard_keys(found, sizes)
-                keys.append(got)
-                nodes.append(np.full(len(got), ids[i]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes).astype(np.int64))], ["key", "id"])
-
-    reps = own.join(classes.filter(F.col("n") >= sizes.least).select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    spread = reps.select("id", "text").mapInArrow(shards, "key long, id long")
-    shared = cut(spread.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_drop_single, "key long, id long"))
-    active = shared.select("id").distinct()
-    known = spark.sparkContext.broadcast(_filter(active.select(F.xxhash64("id").alias("v"))))  # 16 MB whatever the corpus
+                if nodes[i] == last:  # a row that repeats id and text
+                    continue
+                last = nodes[i]
+                keys.append(shard_keys(found, sizes))
+                own_nodes.append(np.full(len(keys[-1]), last))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own_nodes))], ["key", "node"])
+
+    texts = own.join(classes.filter(F.col("n") >= sizes.least).select("id", "t", "node"), ["id", "t"])
+    spread = texts.select("node", "text").mapInArrow(shards, "key long, node long")
+    shared = cut(spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_number, "key long, block int, node long"))
+    active = classes.join(shared.select("node").distinct(), "node", "left_semi").select("id", "t", "node")
+    known = spark.sparkContext.broadcast(_filter(active.select(F.xxhash64("id", "t").alias("v"))))  # 16 MB whatever the corpus
+
+    def maybe_active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = _holds(known.value, b.column(3).to_numpy().view(np.uint64))
+            if keep.any():
+                yield b.filter(pa.array(keep)).select([0, 1, 2])
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             for lo in range(0, b.num_rows, 32):
                 part = b.slice(lo, 32)
-                ids, out = part.column(0).to_numpy(), []
+                nodes, out = part.column(0).to_numpy(), []
                 for i, found in sets(part.column(1), shingle):
-                    out.append((int(ids[i]), len(found), vector(found).tobytes(), found.view(np.int64)))
+                    if nodes[i] != last:
+                        last = nodes[i]
+                        out.append((int(last), len(found), pack(found), found.view(np.int64)))
                 if out:
                     cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], ["id", "n", "vector", "found"])
-
-    def maybe_active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = _holds(known.value, b.column(2).to_numpy().view(np.uint64))
-            if keep.any():
-                yield b.filter(pa.array(keep)).select([0, 1])
-
-    likely = own.filter("id is not null").select("id", "text", F.xxhash64("id").alias("v")).mapInArrow(maybe_active, "id long, text string")
-    features = cut(likely.join(active, "id", "left_semi").select("id", "text").mapInArrow(features_of, "id long, n long, vector binary, found array<long>"))
-
-    # rows (key, root, id, score) of shards that hold several components, the best known document first: its score is the
-    # number of documents it meets in all shards, so the text that others are edited from leads. A shard's rows stay
-    # together and in order, in the checkpointed partitions too; what is closed never opens again
-    met = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("id").agg(F.sum("m").alias("score"))
-    ordered_rows = lambda df: df.repartition("key").sortWithinPartitions("key", F.desc("score"), "id")
-    opened = cut(ordered_rows(shared.join(met, "id").select("key", F.col("id").alias("root"), "id", "score")))
-    links, roots, tried = None, None, None
-    for _ in range(ROUNDS):
-        named = opened.mapInArrow(_name_pairs, "root long, a long, b long").filter("a <> b")
-        counted = named.groupBy("root", "a", "b").agg(F.count(F.lit(1)).alias("m"))
-        if tried is not None:
-            counted = counted.join(tried, ["a", "b"], "left_anti")
-        chosen = cut(counted.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct())
-        tried = chosen if tried is None else tried.unionByName(chosen)
-        new = cut(_verify(chosen, features, percent))
-        links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
-            break
-        roots = cut(components(links))
-        moved = opened.select("key", "id", "score").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "id", "score")
-        opened = cut(ordered_rows(moved).mapInArrow(_keep_open, "key long, root long, id long, score long"))
-        release(spark)
-    still = opened.select("key", "root", "id").join(features.select("id", "n", "vector"), "id")
-    survivors = still.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "n", "vector", "root").mapInArrow(_searcher(percent), "a long, b long").filter("a <> b")
-    ordered = survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(_verify(cut(ordered), features, percent))
-    final = roots if roots is not None and more.isEmpty() else components(links.unionByName(more))
-    # rows that repeat an id are one node: classes of one id are one component
-    by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "x", "y", F.coalesce("root", "rep").alias("component"))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], ["node", "n", "point", "found"])
+
+    likely = own.filter("id is not null").select("id", "t", "text", F.xxhash64("id", "t").alias("v")).mapInArrow(maybe_active, "id long, t long, text string")
+    features = cut(likely.join(active, ["id", "t"]).select("node", "text").mapInArrow(features_of, "node long, n long, point binary, found array<long>"))
+    points = features.select("node", "n", "point")
+    blocks_of = shared.filter("block > 0").groupBy("key").agg(F.max("block").alias("last"))  # a row for each shard of over BLOCK nodes
+
+    placed = shared.join(blocks_of, "key", "left").select("key", F.xxhash64("key", "block").alias("cell"), "node", F.col("last").isNotNull().cast("int").alias("several"))
+    in_blocks = placed.join(points, "node").repartition("cell").sortWithinPartitions("cell", "node").select("cell", "key", "node", "n", "several", "point")
+    named = cut(in_blocks.mapInArrow(_first_search(percent), "a long, b long, key long"))
+    leads = named.filter("key is not null").select("key", F.col("a").alias("node")).join(points, "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "n", "point")
+    most_named = named.filter("key is null").groupBy("b").agg(F.mode("a", True).alias("a")).select("a", "b")
+    first = cut(most_named.unionByName(leads.mapInArrow(_lead_search(percent), "a long, b long")).distinct())
+    links = cut(_verify(first, features, percent))
+    # rows of one id are one document, whatever their sets
+    several_sets = usable.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in "nxy" for f in (F.min, F.max)]).filter("min_n <> max_n or min_x <> max_x or min_y <> max_y").select("id")
+    by_id = usable.join(several_sets, "id").join(classes.select("n", "x", "y", "node"), ["n", "x", "y"]).select("id", "node").distinct()
+    same_id = by_id.join(by_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).filter("a <> b")
+    roots = cut(components(links.unionByName(same_id)))
+
+    numbered = shared.join(roots, "node", "left").select("key", "block", "node", F.coalesce("root", "node").alias("root"))
+    # of shards of several blocks, all but the largest component's nodes visit the other blocks
+    per_root = numbered.join(blocks_of, "key").groupBy("key", "last", "root").agg(F.count(F.lit(1)).alias("m"))
+    largest = per_root.groupBy("key", "last").agg(F.max(F.struct("m", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    guests = numbered.join(largest, "key").filter("root <> top").withColumn("to", F.explode(F.sequence(F.lit(0), "last"))).filter("to <> block")
+    rows = numbered.withColumn("guest", F.lit(False)).unionByName(guests.select("key", F.col("to").alias("block"), "node", "root", F.lit(True).alias("guest")))
+    in_cells = rows.join(points, "node").select(F.xxhash64("key", "block").alias("cell"), "node", "n", "point", "root", "guest").repartition("cell").sortWithinPartitions("cell", "guest", "node")
+    survivors = cut(in_cells.mapInArrow(_second_search(percent), "a long, b long").distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = cut(_verify(survivors, features, percent))
+    merged = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    tops = components(merged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    final = roots.select("node", "root").unionByName(tops.join(roots.select("node"), "node", "left_anti")).join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    placed_classes = classes.join(final, "node", "left").select("n", "x", "y", "id", F.coalesce("root", "node").alias("root"))
+    least = placed_classes.groupBy("root").agg(F.min("id").alias("component"))
+    by_class = placed_classes.select("n", "x", "y", "root").join(least, "root").select("n", "x", "y", "component")
     got = per_row.join(by_class, ["n", "x", "y"], "left")
-    return got.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).cast(docs.schema[id_col].dataType).alias("component_id"))
+    out = got.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).cast(kind).alias("component_id"))
+    return out, {"first pairs": first, "first links": links, "pairs of the tree": survivors, "links of the tree": more}
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component, or have a null id."""
-    gone = link(docs, percent, shingle, id_col, text_col).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = link(docs.select(id_col, text_col), percent, shingle, id_col, text_col).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 ORACLE_SQL = rf"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -19,11 +18,13 @@ ARROW_BYTES = 2 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Ships the package to Python workers and bounds Arrow batches for long texts.
 
-    The two settings stay on the session, since DataFrames are computed after the call that made them.
+    The settings stay on the session, since DataFrames are computed after the call that made them. The last one lets
+    Spark remove the shuffle files of a query or checkpoint when it has ended, not when the driver next collects garbage.
     """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -46,6 +47,20 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that fresh_dir() named, whatever store it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the shared folder: a lost executor costs no more than what follows."""
     shared_dir(df.sparkSession)
@@ -54,9 +69,3 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files and checkpoints that no DataFrame needs any more, before the next round writes more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

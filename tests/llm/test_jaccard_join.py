@@ -103,3 +103,44 @@ def test_runs_and_components(spark):
     got = dict(tuple(r) for r in components(e).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components(e.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_join_all_their_texts(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"])), (4, "z"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert sorted((r.doc_id, r.component_id) for r in J.link(df, groups=0).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+
+
+def test_shards_of_several_blocks(spark):
+    """Near copies of three texts: more than a block holds, with outliers that only one other copy links to."""
+    rng = random.Random(9)
+    base = [[f"{k}w{i}" for i in range(80)] for k in range(3)]
+    docs = []
+    for i in range(2 * J.BLOCK + 900):
+        w = list(base[i % 3 if i % 3 < 2 or i < 300 else 0])
+        w[rng.randrange(80)] = f"e{i}"
+        docs.append((i, " ".join(w)))
+    far = docs[5][1].split()
+    far[10], far[40] = "q1", "q2"  # links to document 5 alone, if at all
+    docs.append((99_999, " ".join(far)))
+    got = {r.doc_id: r.component_id for r in J.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    group = {i: t.split()[0][0] if not t.startswith("e") else t.split()[1][0] for i, t in docs}
+    least = {g: min(i for i in group if group[i] == g) for g in "012"}
+    links = [i for i, t in docs if i != 99_999 and 100 * len(shingles(t) & shingles(docs[-1][1])) >= 85 * len(shingles(t) | shingles(docs[-1][1]))]
+    assert all(got[i] == least[group[i]] for i in got if i != 99_999)
+    assert got[99_999] == (got[links[0]] if links else 99_999)
+
+
+def test_rows_are_numbered_across_batches():
+    key, node = [1, 1, 1, 2, 3, 3, 3, 4], [5, 5, 6, 7, 8, 9, 10, 11]
+    for size in (1, 2, 3, 8):
+        parts = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size], pa.int64()), pa.array(node[i : i + size], pa.int64())], ["key", "node"]) for i in range(0, 8, size)]
+        got = [tuple(r.values()) for b in J._number(iter(parts)) for r in b.to_pylist()]
+        assert got == [(1, 0, 5), (1, 0, 6), (3, 0, 8), (3, 0, 9), (3, 0, 10)]
+
+
+def test_points_are_packed_without_loss():
+    rng = np.random.default_rng(3)
+    found = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 255, 256, 900)]
+    assert (J.unpack(pa.array([J.pack(f) for f in found], pa.binary())) == np.stack([J.vector(f) for f in found])).all()
