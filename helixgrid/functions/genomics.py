@@ -52,9 +52,8 @@ def is_autosome(c: Column | str) -> Column:
 
 def cigar_ops(cigar: Column | str) -> Column:
     """array of (len, op)."""
-    c = _col(cigar)
-    zipped = F.arrays_zip(F.regexp_extract_all(c, F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1)).alias("l"), F.regexp_extract_all(c, F.lit(r"\d+([MIDNSHP=X])"), F.lit(1)).alias("o"))
-    return F.transform(zipped, lambda x: F.struct(x["l"].cast("int").alias("len"), x["o"].alias("op")))
+    found = F.regexp_extract_all(_col(cigar), F.lit(r"\d+[MIDNSHP=X]"), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.substr(x, F.lit(1), F.length(x) - 1).cast("int").alias("len"), F.right(x, F.lit(1)).alias("op")))
 
 
 def _walk(ops: Column, start: Column, emits: str) -> Column:
@@ -133,7 +132,7 @@ def mean_quality(quals: Column | str) -> Column:
 
 
 def poly_tail(seq: Column | str, base: str, least: int = 12) -> Column:
-    return upper_ascii(seq).rlike(f"{base}{{{least}}}$")
+    return upper_ascii(seq).rlike(rf"{base}{{{least}}}\z")
 
 
 def adapter_start(seq: Column | str, adapter: str) -> Column:
@@ -153,8 +152,13 @@ def read_name(name: Column | str) -> Column:
     return F.regexp_replace(F.regexp_extract(_col(name), r"^@*\s*(\S+)", 1), r"(/2)*(/1)*$", "")
 
 
+def name_hash(name: Column | str) -> Column:
+    """The first 32 bits of the MD5 digest: the same in every engine."""
+    return F.conv(F.substring(F.md5(_col(name)), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_bucket(name: Column | str, n: int = 100) -> Column:
-    return F.pmod(F.xxhash64(_col(name)), F.lit(n)).cast("int")
+    return F.pmod(name_hash(name), F.lit(n)).cast("int")
 
 
 def fraction(a: Column | str, b: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixgrid.functions import genomics as G
@@ -89,21 +89,22 @@ def insert_metrics(hist: DataFrame) -> DataFrame:
     )
 
 
-def md_substitutions(records: DataFrame) -> DataFrame:
-    """mate, cycle (0-based in the stored sequence), ref, query of every mismatch that MD and CIGAR tell.
-
-    Records: flag, cigar, md, seq. Matches and mismatches of MD are walked over the query bases that M, = and X hold;
-    insertions and soft clips take query bases that MD doesn't see. Records without MD are left out.
-    """
-    read_cycles = F.aggregate(
+def _query_places(kinds: str) -> Column:
+    """1-based places in the stored sequence that operations of some kinds hold."""
+    return F.aggregate(
         G.cigar_ops("cigar"),
         F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")),
         lambda s, x: F.struct(
             (s["at"] + F.when(x["op"].isin(*"MIS=X"), x["len"]).otherwise(0)).alias("at"),
-            F.when(x["op"].isin(*"M=X") & (x["len"] > 0), F.concat(s["out"], F.sequence(s["at"], s["at"] + x["len"] - 1))).otherwise(s["out"]).alias("out"),
+            F.when(x["op"].isin(*kinds) & (x["len"] > 0), F.concat(s["out"], F.sequence(s["at"], s["at"] + x["len"] - 1))).otherwise(s["out"]).alias("out"),
         ),
         lambda s: s["out"],
     )
+
+
+def _md_mismatches(records: DataFrame) -> DataFrame:
+    """mate, cycle, ref, query of each mismatch of MD that lies in the sequence."""
+    read_cycles = _query_places("M=X")
     walked = F.aggregate(
         G.md_elements("md"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,ref:string>>").alias("out")),
@@ -116,7 +117,34 @@ def md_substitutions(records: DataFrame) -> DataFrame:
     mate = F.when(G.flag_is("flag", G.LAST), 2).otherwise(1)
     found = records.filter("md is not null").select(mate.alias("mate"), "seq", read_cycles.alias("cycles"), F.explode(walked).alias("m"))
     at = F.try_element_at("cycles", F.col("m.i"))
-    return found.select("mate", (at - 1).alias("cycle"), F.col("m.ref").alias("ref"), F.upper(F.substr("seq", at, F.lit(1))).alias("query")).filter("cycle is not null and query <> '' and ref <> query")
+    return found.select("mate", (at - 1).alias("cycle"), F.col("m.ref").alias("ref"), F.upper(F.substr("seq", at, F.lit(1))).alias("query")).filter("cycle is not null and query <> ''")
+
+
+def md_substitutions(records: DataFrame) -> DataFrame:
+    """mate, cycle (0-based in the stored sequence), ref, query of every mismatch that MD and CIGAR tell.
+
+    Records: flag, cigar, md, seq. Matches and mismatches of MD are walked over the query bases that M, = and X hold;
+    insertions and soft clips take query bases that MD doesn't see. Records without MD are left out.
+    """
+    return _md_mismatches(records).filter("ref <> query")
+
+
+def mismatch_cycles(records: DataFrame) -> DataFrame:
+    """mate and cycle of every mismatch: those of MD, or of records without MD the bases of X."""
+    mate = F.when(G.flag_is("flag", G.LAST), 2).otherwise(1)
+    by_x = records.filter("md is null").select(mate.alias("mate"), F.length("seq").alias("n"), F.explode(_query_places("X")).alias("at"))
+    return _md_mismatches(records).select("mate", "cycle").unionByName(by_x.filter("at <= n").select("mate", (F.col("at") - 1).alias("cycle")))
+
+
+def cycle_rates(records: DataFrame) -> DataFrame:
+    """per_cycle() with mismatches and their rate. Records: flag, cigar, md, seq, qual."""
+    wrong = mismatch_cycles(records).groupBy("mate", "cycle").agg(F.count(F.lit(1)).alias("mismatches"))
+    return per_cycle(records).join(wrong, ["mate", "cycle"], "left").na.fill(0, ["mismatches"]).withColumn("mismatch_rate", F.col("mismatches") / F.col("reads"))
+
+
+def quality_counts(records: DataFrame) -> DataFrame:
+    """Bases of each quality. Records: qual (array of int)."""
+    return records.select(F.explode("qual").alias("quality")).groupBy("quality").agg(F.count(F.lit(1)).alias("count"))
 
 
 def per_cycle(records: DataFrame) -> DataFrame:

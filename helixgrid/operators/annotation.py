@@ -30,6 +30,21 @@ def spliced_position(pos: Column) -> Column:
     return F.col("offset") + F.when(F.col("strand") == "-", F.col("end") - 1 - pos).otherwise(pos - F.col("start"))
 
 
+def spliced_range(start: Column, end: Column, from_3p: bool = False) -> Column:
+    """struct(start, end) of the part of a genomic range that an exon holds, in distances from the transcript's 5' or 3' end; null without one. On rows of spliced_offsets()."""
+    lo, hi = F.greatest(start, F.col("start")), F.least(end, F.col("end"))
+    first = F.col("offset") + F.when(F.col("strand") == "-", F.col("end") - hi).otherwise(lo - F.col("start"))
+    last = first + hi - lo
+    a, z = (F.greatest(F.col("total_length") - last, F.lit(0)), F.greatest(F.col("total_length") - first, F.lit(0))) if from_3p else (first, last)
+    return F.when(lo < hi, F.struct(a.alias("start"), z.alias("end")))
+
+
+def genomic_position(spliced: Column) -> Column:
+    """The genomic place of a distance from the 5' end, null unless this exon holds it; on rows of spliced_offsets()."""
+    within = spliced - F.col("offset")
+    return F.when((within >= 0) & (within < F.col("end") - F.col("start")), F.when(F.col("strand") == "-", F.col("end") - 1 - within).otherwise(F.col("start") + within))
+
+
 def introns(exons: DataFrame) -> DataFrame:
     """Gaps between consecutive exons of a transcript."""
     nxt = F.lead("start").over(Window.partitionBy("transcript_id").orderBy("start"))

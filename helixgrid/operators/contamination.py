@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixgrid.functions import genomics as G
@@ -41,6 +41,13 @@ def reference_kmers(sequences: DataFrame, k: int, seq_col: str = "seq") -> DataF
     return one.unionByName(one.select(G.reverse_complement("kmer").alias("kmer"))).distinct()
 
 
+def fasta_kmers(spark: SparkSession, paths: str | list[str], k: int, window: int = 100_000) -> DataFrame:
+    """reference_kmers() of FASTA files: windows reach k - 1 bases into the next one, so no k-mer is lost between them."""
+    from helixgrid.sources import read_fasta
+
+    return reference_kmers(read_fasta(spark, paths, window, k - 1), k)
+
+
 def kmer_hits(reads: DataFrame, known: DataFrame, k: int, least: int, id_cols: list[str]) -> DataFrame:
     """ids and hits of reads with at least `least` occurrences of known k-mers."""
     found = reads.select(*id_cols, F.explode(G.kmers("seq", k)).alias("kmer")).join(known, "kmer", "left_semi")

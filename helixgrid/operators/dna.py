@@ -74,6 +74,22 @@ def merge_inputs(per_input: DataFrame) -> DataFrame:
     return per_input.groupBy("contig").agg(F.max("length").alias("length"), F.sum("depth_bases").alias("depth_bases"), *[F.sum(f"bases_ge_{n}").alias(f"bases_ge_{n}") for n in LEVELS])
 
 
+def window_gc(windows: DataFrame, reference: DataFrame, bin_size: int) -> DataFrame:
+    """windows (contig, start, end and others) with gc: the share of G and C among A, C, G, T and U of the reference.
+
+    reference: contig, start, seq in pieces of any length. Windows without such a base are left out. A window's bases
+    are counted piece by piece and summed; sequences are not put together.
+    """
+    pieces = reference.select("contig", F.col("start").alias("piece_start"), (F.col("start") + F.length("seq")).alias("piece_end"), "seq")
+    spans = windows.withColumn("window", F.struct(*windows.columns)).select("contig", "start", "end", "window")
+    met = range_join(spans, pieces, "contig", ("start", "end"), ("piece_start", "piece_end"), bin_size)
+    lo, hi = F.greatest("start", "piece_start"), F.least("end", "piece_end")
+    part = F.substr("seq", (lo - F.col("piece_start") + 1).cast("int"), (hi - lo).cast("int"))
+    count = lambda letters: F.length(part) - F.length(F.translate(part, letters, ""))
+    per = met.select("window", count("GCgc").alias("g"), count("ATUatu").alias("a")).groupBy("window").agg(F.sum("g").alias("g"), F.sum("a").alias("a"))
+    return per.filter("g + a > 0").select("window.*", (F.col("g") / (F.col("g") + F.col("a"))).alias("gc"))
+
+
 def gc_bias(windows: DataFrame) -> DataFrame:
     """101 bins of GC percent. windows: gc (0..1), mean_depth. Empty bins are 0."""
     at = F.least(F.floor(F.col("gc") * 100 + 0.5), F.lit(100)).cast("int")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions of a contig that one task sweeps.
+TILE = 1 << 20
+
+
 def range_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], bin_size: int, how: str = "inner") -> DataFrame:
     """Pairs of rows of one key whose intervals overlap.
 
@@ -37,11 +41,20 @@ def merge_intervals(df: DataFrame, key: str = "chrom", start: str = "start", end
 
 
 def depth_segments(blocks: DataFrame, key: str = "contig", start: str = "start", end: str = "end") -> DataFrame:
-    """key, start, end, depth: maximal-by-event stretches with a depth of 1 or more. Events are summed per position before they are swept."""
+    """key, start, end, depth: maximal-by-event stretches with a depth of 1 or more.
+
+    Events are summed per position, and swept within tiles of a contig: a tile begins at the depth that the events of the
+    tiles before it leave, and its last stretch ends where the next tile's first event lies. So a task holds a tile, and
+    only the tiles' sums are swept over a whole contig.
+    """
     event = F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d"))))
     events = blocks.select(key, event.alias("e")).groupBy(key, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    w = Window.partitionBy(key).orderBy("at")
-    swept = events.select(key, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    tiled = events.withColumn("_tile", F.floor(F.col("at") / TILE))
+    along = Window.partitionBy(key).orderBy("_tile")  # a row for each tile
+    sums = tiled.groupBy(key, "_tile").agg(F.sum("d").alias("_sum"), F.min("at").alias("_first"))
+    tiles = sums.select(key, "_tile", (F.sum("_sum").over(along) - F.col("_sum")).alias("_before"), F.lead("_first").over(along).alias("_next"))
+    w = Window.partitionBy(key, "_tile").orderBy("at")
+    swept = tiled.join(tiles, [key, "_tile"]).select(key, F.col("at").alias("start"), F.coalesce(F.lead("at").over(w), "_next").alias("end"), (F.col("_before") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("depth"))
     return swept.filter("end is not null and depth > 0")
 
 
@@ -58,8 +71,3 @@ def histogram_quantile(hist: DataFrame, q: float, value: str, count: str = "coun
     ranked = hist.withColumn("_cum", F.sum(count).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum(count).over(w))
     reached = ranked.filter(F.col("_cum") >= F.floor((F.col("_n") - 1) * q + 0.5) + 1)
     return reached.groupBy(*by).agg(F.min(value).alias("quantile"))
-
-
-def overlap(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    """Length of the common part of two intervals that overlap."""
-    return F.least(a[1], b[1]) - F.greatest(a[0], b[0])

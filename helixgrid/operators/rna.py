@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixgrid.functions import genomics as G
 from helixgrid.operators.annotation import REGIONS, spliced_position
+from helixgrid.operators.contamination import midpoint_hits
 from helixgrid.operators.intervals import range_join
 
 
@@ -28,6 +29,30 @@ def mito_counts(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.lower("contig").isin(*G.RNA_MITO)).alias("mito"))
 
 
+def counters(records: DataFrame, intervals: DataFrame | None, id_cols: list[str], rdna_contigs: tuple[str, ...] = (), bin_size: int = 1_000) -> DataFrame:
+    """aligned_qc_reads, mtdna_reads and rdna_reads of passing records: a read is ribosomal by its contig, or by its match midpoint in an interval (chrom, start, end)."""
+    by_contig = G.normalize_chrom("contig").isin(*[c.lower().removeprefix("chr") for c in rdna_contigs]) if rdna_contigs else F.lit(False)
+    if intervals is not None:
+        marked = records.join(midpoint_hits(records, intervals, id_cols, bin_size).withColumn("_hit", F.lit(True)), id_cols, "left")
+    else:
+        marked = records.withColumn("_hit", F.lit(None).cast("boolean"))
+    return marked.agg(F.count(F.lit(1)).alias("aligned_qc_reads"), F.count_if(F.lower("contig").isin(*G.RNA_MITO)).alias("mtdna_reads"), F.count_if(by_contig | F.coalesce("_hit", F.lit(False))).alias("rdna_reads"))
+
+
+def merge_counts(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Counts of several inputs or windows as one: numbers of equal keys are summed."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    numbers = [c for c in every.columns if c not in keys]
+    return every.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in numbers]) if keys else every.agg(*[F.sum(c).alias(c) for c in numbers])
+
+
+def first_pairs(pairs: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n pairs in order, after which a search for pairs may stop. Top-n per partition first; no global sort."""
+    return pairs.orderBy(*order).limit(n)
+
+
 def autosomal(records: DataFrame) -> DataFrame:
     return records.filter(G.is_autosome("contig"))
 
@@ -79,20 +104,21 @@ def mate_pairs(records: DataFrame, order: list[str]) -> DataFrame:
     cols = [c for c in records.columns if c != "qname"]
     numbered = records.withColumn("_i", F.row_number().over(w) - 1).withColumn("_first", G.flag_is("flag", G.FIRST))
     pairs = numbered.groupBy("qname", F.floor(F.col("_i") / 2).alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_first").alias("_f"), F.min_by(F.struct(*cols), F.struct((~F.col("_first")).alias("l"), "_i")).alias("r1"), F.max_by(F.struct(*cols), F.struct((~F.col("_first")).alias("l"), "_i")).alias("r2"))
-    return pairs.filter("_n = 2 and _f = 1").select("qname", "r1", "r2")
+    return pairs.filter("_n = 2 and _f = 1").select("qname", F.col("_p").alias("pair_no"), "r1", "r2")
 
 
-def inner_distances(pairs: DataFrame, exons: DataFrame, low: int = -1_000, high: int = 2_000) -> DataFrame:
+def inner_distances(pairs: DataFrame, exons: DataFrame, low: int = -1_000, high: int = 2_000, join_bin: int = 1_024) -> DataFrame:
     """qname, inner, r1_reverse, r2_reverse, gene strand of pairs whose mates' midpoints hit one gene, and the same.
 
     A midpoint that several genes hold counts if all are on one strand; then the gene with the smallest id is meant.
     Both ends of the fragment must lie in the gene's exons; the distance is spliced. exons: rows of spliced_offsets(), one transcript per gene.
     """
     e = exons.select(G.normalize_chrom("chrom").alias("e_chrom"), F.col("start"), F.col("end"), "gene_id", "strand", "offset")
-    flat = pairs.select("qname", F.monotonically_increasing_id().alias("pid"), "r1", "r2")
+    flat = pairs.select(F.struct("qname", "pair_no").alias("pid"), "r1", "r2")
     sides = flat.select("pid", F.explode(F.array(F.struct(F.lit(1).alias("side"), "r1.*"), F.struct(F.lit(2).alias("side"), "r2.*"))).alias("m")).select("pid", "m.side", G.normalize_chrom("m.contig").alias("chrom"), G.match_span("m.cigar", "m.pos0").alias("s"), G.aligned_length("m.cigar").alias("aligned"), G.flag_is("m.flag", G.REVERSE).alias("reverse"))
     spans = sides.filter("s is not null").withColumn("mid", G.midpoint("s.start", "s.end"))
-    hit = spans.join(e, (F.col("chrom") == F.col("e_chrom")) & (F.col("mid") >= F.col("start")) & (F.col("mid") < F.col("end")))
+    points = spans.select("pid", "side", "chrom", "mid", (F.col("mid") + 1).alias("next"))
+    hit = range_join(points, e.withColumnRenamed("e_chrom", "chrom").select("chrom", "start", "end", "gene_id", "strand"), "chrom", ("mid", "next"), ("start", "end"), join_bin)
     gene = hit.groupBy("pid", "side").agg(F.min("gene_id").alias("gene_id"), F.min("strand").alias("strand"), F.count_distinct("strand").alias("_s")).filter("_s = 1").drop("_s")
     known = spans.join(gene, ["pid", "side"], "left")
     both = known.groupBy("pid").agg(F.count_distinct("chrom").alias("chroms"), F.count("gene_id").alias("genes"), F.min("gene_id").alias("g1"), F.max("gene_id").alias("g2"), F.min("chrom").alias("chrom"), F.min("s.start").alias("p1"), (F.max("s.end") - 1).alias("p2"), F.sum("aligned").alias("aligned"), F.max_by("reverse", -F.col("side")).alias("r1_reverse"), F.max_by("reverse", "side").alias("r2_reverse"), F.min("strand").alias("strand"))

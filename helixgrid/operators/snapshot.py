@@ -39,7 +39,7 @@ def in_region(records: DataFrame, chrom: str, start: int, end: int, mapq: int =
 
 def sample_reads(records: DataFrame, n: int) -> DataFrame:
     """n reads by hash of name and place: the same ones each time."""
-    return records.orderBy(F.xxhash64("qname", "pos0"), "qname", "pos0", "flag").limit(n)
+    return records.orderBy(F.md5(F.concat_ws(":", "qname", F.col("pos0").cast("string"))), "qname", "pos0", "flag").limit(n)
 
 
 def steps(records: DataFrame) -> DataFrame:
@@ -82,12 +82,33 @@ def pileup(records: DataFrame, start: int, end: int) -> DataFrame:
 KINDS = {"M": "match", "=": "match", "X": "mismatch", "I": "insertion", "D": "deletion", "N": "skip", "S": "soft_clip"}
 
 
-def segments(records: DataFrame, start: int, end: int) -> DataFrame:
-    """qname, flag, hp, segments: array of (kind, start, end) clipped to the region; insertions and soft clips are points."""
+def query_bases(records: DataFrame) -> DataFrame:
+    """The records' columns but cigar, with op, ref and bases of each insertion and soft clip. Records: cigar, pos0, seq."""
+    s = steps(records).select(*[c for c in records.columns if c not in ("cigar", "seq")], "seq", F.explode(F.filter("steps", lambda x: x["op"].isin("I", "S"))).alias("x"))
+    return s.select(*[c for c in s.columns if c not in ("seq", "x")], F.col("x.op").alias("op"), F.col("x.ref").alias("ref"), F.substr("seq", F.col("x.query") + 1, F.col("x.len")).alias("bases"))
+
+
+def mismatched(reference: str, start: int, end: int) -> Column:
+    """Of rows with steps and seq: array of (kind, start, end), a segment for each base that differs from the region's reference."""
+    ref = F.lit(reference.upper())
+
+    def of(x: Column) -> Column:
+        places = F.filter(F.sequence(F.greatest(x["ref"], F.lit(start)), F.least(x["ref"] + x["len"], F.lit(end)) - 1), lambda p: F.substr("seq", (x["query"] + p - x["ref"] + 1).cast("int"), F.lit(1)) != "")
+        known = lambda p: F.substr(ref, (p - start + 1).cast("int"), F.lit(1))
+        here = lambda p: F.upper(F.substr("seq", (x["query"] + p - x["ref"] + 1).cast("int"), F.lit(1)))
+        return F.transform(F.filter(places, lambda p: known(p).isin(*"ACGT") & here(p).isin(*"ACGT") & (known(p) != here(p))), lambda p: F.struct(F.lit("mismatch").alias("kind"), p.alias("start"), (p + 1).alias("end")))
+
+    over = F.filter("steps", lambda x: x["op"].isin(*"M=X") & (x["ref"] < end) & (x["ref"] + x["len"] > start))
+    return F.flatten(F.transform(over, of))
+
+
+def segments(records: DataFrame, start: int, end: int, reference: str | None = None) -> DataFrame:
+    """qname, flag, hp, segments: array of (kind, start, end) clipped to the region; insertions and soft clips are points. With the region's reference, which needs seq, mismatches come after what they lie on."""
     kind = F.create_map(*[F.lit(v) for kv in KINDS.items() for v in kv])
     drawn = F.filter(F.transform("steps", lambda x: F.struct(kind[x["op"]].alias("kind"), F.greatest(x["ref"], F.lit(start)).alias("start"), F.least(F.when(x["op"].isin("I", "S"), x["ref"]).otherwise(x["ref"] + x["len"]), F.lit(end)).alias("end"))), lambda x: x["kind"].isNotNull() & (x["start"] <= x["end"]) & (x["end"] >= start) & (x["start"] <= end))
     own = records if "hp" in records.columns else records.withColumn("hp", F.lit(None).cast("int"))
-    return steps(own).select("qname", "flag", "hp", "pos0", drawn.alias("segments"))
+    every = drawn if reference is None else F.concat(drawn, mismatched(reference, start, end))
+    return steps(own).select("qname", "flag", "hp", "pos0", every.alias("segments"))
 
 
 def snapshot(records: DataFrame, transcripts: DataFrame | None, markers: DataFrame | None, region: str, most_reads: int = 200) -> str:

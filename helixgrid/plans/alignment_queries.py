@@ -14,6 +14,7 @@ from helixgrid.operators import rna as R
 from helixgrid.plans import fixtures as X
 from helixgrid.plans.fixtures import load, sql
 from helixgrid.plans.registry import register
+from helixgrid.sources.intervals import targets
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 KEYS = ", ".join(KEY)
@@ -218,6 +219,18 @@ def p22(s, d):
     return A.md_substitutions(load(s, d, MD)).groupBy("mate", "cycle", "ref", "query").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("a16_mismatch_cycles", sql("SELECT CASE WHEN (flag & 128) <> 0 THEN 2 ELSE 1 END AS mate, CAST(mlen - 6 + CASE WHEN l_linenumber % 4 = 1 THEN 5 WHEN l_linenumber % 4 = 3 THEN 2 ELSE 0 END AS INT) AS cycle, count(*) AS mismatches FROM m GROUP BY 1, 2", m=MD))
+def a16b(s, d):
+    return A.mismatch_cycles(load(s, d, MD)).groupBy("mate", "cycle").agg(F.count(F.lit(1)).alias("mismatches"))
+
+
+@register("p35_clip_bases", sql(f"SELECT {KEYS}, CASE WHEN l_linenumber % 4 = 1 THEN 'S' ELSE 'I' END AS op, CASE WHEN l_linenumber % 4 = 1 THEN pos0 ELSE pos0 + 10 END AS ref, CASE WHEN l_linenumber % 4 = 1 THEN 'CCCCC' ELSE 'CC' END AS bases FROM m WHERE l_linenumber % 4 IN (1, 3)", m=MD))
+def p35(s, d):
+    from helixgrid.operators.snapshot import query_bases
+
+    return query_bases(load(s, d, MD)).select(*KEY, "op", "ref", "bases")
+
+
 SEGS = """SELECT contig, posn AS start, nxt AS "end", depth FROM (SELECT contig, posn, lead(posn) OVER w AS nxt, sum(d) OVER (w ROWS UNBOUNDED PRECEDING) AS depth
  FROM (SELECT contig, posn, sum(d) AS d FROM (SELECT contig, start AS posn, 1 AS d FROM b WHERE (flag & 2308) = 0 UNION ALL SELECT contig, "end", -1 FROM b WHERE (flag & 2308) = 0) GROUP BY contig, posn) WINDOW w AS (PARTITION BY contig ORDER BY posn)) WHERE nxt IS NOT NULL AND depth > 0"""
 HIST = f'SELECT CAST(depth AS BIGINT) AS depth, CAST(sum("end" - start) AS BIGINT) AS bases FROM segs GROUP BY depth UNION ALL SELECT 0, (SELECT count(DISTINCT contig) * {X.CONTIG_LENGTH} FROM a) - (SELECT CAST(sum("end" - start) AS BIGINT) FROM segs)'
@@ -263,7 +276,9 @@ def a18b(s, d):
 
 @register("s11_targets", sql("SELECT * FROM t", t=TNAMED))
 def s11(s, d):
-    return load(s, d, TNAMED)
+    rows = load(s, d, X.TARGETS)
+    fields = [F.col("chrom"), F.col("start").cast("string"), F.col("end").cast("string"), F.coalesce("name", F.lit(""))]
+    return targets(rows.select(F.concat_ws("\t", *fields).alias("value")))
 
 
 _BREADTH = ", ".join(f"100 * sum(CASE WHEN depth >= {n} THEN bases ELSE 0 END) / sum(bases) AS breadth_{n}" for n in D.LEVELS)
@@ -302,6 +317,29 @@ def a22(s, d):
     return D.gc_bias_checks(D.gc_bias(_gc_windows(s, d)))
 
 
+#: Pieces of a reference, which overlap each other; every text is one.
+REF = f"SELECT concat('chr', CAST(read_id % 22 + 1 AS STRING)) AS contig, CAST(floor(read_id / 22) * 100 % 5000 AS BIGINT) AS start, seq FROM ({X.FQ}) f"
+WGC = """SELECT contig, start, "end", mean_depth, sum(g) / (sum(g) + sum(t)) AS gc FROM (SELECT contig, start, "end", mean_depth, length(p) - length(translate(p, 'GCgc', '')) AS g, length(p) - length(translate(p, 'ATUatu', '')) AS t
+ FROM (SELECT w.contig, w.start, w."end", depth_bases / (w."end" - w.start) AS mean_depth, substr(seq, greatest(w.start, r.start) - r.start + 1, least(w."end", r.start + length(seq)) - greatest(w.start, r.start)) AS p FROM wd w JOIN ref r ON r.contig = w.contig AND r.start < w."end" AND w.start < r.start + length(seq)))
+ GROUP BY contig, start, "end", mean_depth HAVING sum(g) + sum(t) > 0"""
+GC_VIEWS = {"a": X.ALNC, "b": X.BLOCKS, "segs": SEGS, "win": WIN, "wd": WDEPTH, "ref": REF, "gw": WGC}
+
+
+def _reference_gc(s, d):
+    wd = D.span_depth(D.segments(alnc(s, d)), I.windows(load(s, d, X.CONTIGS), 1000), 1000)
+    return D.window_gc(wd.select("contig", "start", "end", (F.col("depth_bases") / (F.col("end") - F.col("start"))).alias("mean_depth")), load(s, d, REF), 1000)
+
+
+@register("j14_window_gc", sql("SELECT * FROM gw", **GC_VIEWS))
+def j14(s, d):
+    return _reference_gc(s, d)
+
+
+@register("j14_gc_bias", sql("SELECT * FROM gb", **GC_VIEWS, gb=GCB))
+def j14b(s, d):
+    return D.gc_bias(_reference_gc(s, d))
+
+
 MERGED = """SELECT chrom, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
  SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM c)) GROUP BY chrom, island"""
 
@@ -326,9 +364,6 @@ def j6(s, d):
     return R.mito_counts(aln(s, d))
 
 
-_TX_HITS = "SELECT DISTINCT tx_id, a.qname, a.pos0, a.mlen FROM a JOIN t ON a.contig = t.chrom AND a.pos0 < t.e1e AND a.pos0 + a.mlen > t.e1s"
-
-
 @register("range_join_pairs", sql("SELECT qname, pos0, mlen, tx_id, count(*) AS n FROM a JOIN t ON a.contig = t.chrom AND a.pos0 < t.e1e AND a.pos0 + a.mlen > t.e1s GROUP BY ALL", a=X.ALN, t=X.TX))
 def range_pairs(s, d):
     left = aln(s, d).select("qname", "pos0", "mlen", F.col("contig").alias("chrom"), (F.col("pos0") + F.col("mlen")).alias("stop"))

@@ -44,16 +44,14 @@ UNION ALL SELECT *, pos0 + 10, pos0 + 15 FROM ({ALNC}) b WHERE l_linenumber % 4
 UNION ALL SELECT *, pos0 + 18, pos0 + 3 + mlen FROM ({ALNC}) b WHERE l_linenumber % 4 = 3
 """
 
+#: Reads: whole texts, a null one as empty.
 FQ = """
-SELECT doc_id AS read_id, translate(substr(text, 1, 150),
+SELECT doc_id AS read_id, translate(coalesce(text, ''),
   'BDEFHIJKLMOPQRSUVWXYZbdefhijklmopqrsuvwxyzacgtn .,',
   'ACGTACGTACGTACGTACGTAACGTACGTACGTACGTACGTAACGTNNNN') AS seq
 FROM {documents}
 """
 
-#: What the queries read: whole texts, a null one as empty. The SQL beside them is of FQ, the first 150 characters.
-READS = FQ.replace("substr(text, 1, 150)", "coalesce(text, '')")
-
 TX = """
 SELECT CAST(p_partkey AS BIGINT) AS tx_id, concat('G', CAST(p_partkey % 200 AS STRING)) AS gene_id,
  concat('chr', CAST(p_partkey % 200 % 22 + 1 AS STRING)) AS chrom,

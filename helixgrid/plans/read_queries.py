@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import string
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixgrid.functions import genomics as G
@@ -12,26 +14,24 @@ from helixgrid.plans import fixtures as X
 from helixgrid.plans.fixtures import load, sql
 from helixgrid.plans.registry import register
 
-UP = "upper(seq)"
-LIST = "string_split(seq, '')"
-NOT_ACGT = "length(translate(upper(seq), 'ACGTU', ''))"
+#: A-Z only, as the operators do.
+UP = f"translate(seq, '{string.ascii_lowercase}', '{string.ascii_uppercase}')"
 QUAL = "list_transform(range(length(seq)), lambda i: (read_id * 3 + i * 7) % 41)"
 MEANQ = f"CASE WHEN length(seq) = 0 THEN 0 ELSE CAST(floor(list_sum({QUAL}) / length(seq)) AS INT) END"
 GC = "CASE WHEN length(seq) = 0 THEN 0 ELSE CAST(floor(100 * (length(seq) - length(translate(seq, 'GCgc', ''))) / length(seq)) AS INT) END"
 #: Short adapters that the fixture's reads do hold.
 SHORT = ("ACGT", "GGTA", "TTTTT")
-#: The reference's defaults; the SQL beside them has 500 and 5.
+#: Reads that are sampled, and letters of a k-mer.
 SAMPLE, K = 1_000_000, 7
 
 
 def reads(s: SparkSession, d: str) -> DataFrame:
     """The reads of `fq` with qualities; its letters beyond the map are ASCII-folded nowhere, as in SQL."""
     quality = F.expr("case when length(seq) > 0 then transform(sequence(0, length(seq) - 1), i -> cast((read_id * 3 + i * 7) % 41 as int)) else cast(array() as array<int>) end")
-    return load(s, d, X.READS).select(F.lit(0).alias("file_idx"), F.col("read_id").alias("rec_no"), F.lit(1).alias("mate"), F.col("read_id").cast("string").alias("name"), "read_id", "seq", quality.alias("qual"))
+    return load(s, d, X.FQ).select(F.lit(0).alias("file_idx"), F.col("read_id").alias("rec_no"), F.lit(1).alias("mate"), F.col("read_id").cast("string").alias("name"), "read_id", "seq", quality.alias("qual"))
 
 
-FIRST = "SELECT * FROM r ORDER BY read_id LIMIT 500"
-ASCII = "regexp_matches(seq, '^[ -~\\n]*$')"
+FIRST = f"SELECT * FROM r ORDER BY read_id LIMIT {SAMPLE}"
 
 
 @register("a1_fastq_summary", sql(f"SELECT count(*) AS total_reads, CAST(sum(length(seq)) AS BIGINT) AS total_bases, min(length(seq)) AS min_len, max(length(seq)) AS max_len, sum(length(seq)) / count(*) AS mean_len, count(*) FILTER (regexp_matches(seq, '[aA]{{12}}$')) AS poly_a, count(*) FILTER (regexp_matches(seq, '[gG]{{12}}$')) AS poly_g, count(*) FILTER (length(translate(seq, 'ACGTUacgtu', '')) > 0) AS n_reads FROM r", r=X.FQ))
@@ -75,7 +75,7 @@ def a16(s, d):
     return per_cycle(reads(s, d).withColumn("flag", F.when(F.col("read_id") % 2 == 1, G.LAST).otherwise(G.FIRST)))
 
 
-@register("a4_adapters", sql("SELECT adapter, CAST(instr(upper(seq), adapter) - 1 AS INT) AS position, count(*) AS count FROM r, (VALUES " + ", ".join(f"('{a}')" for a in SHORT) + ") v(adapter) WHERE instr(upper(seq), adapter) > 0 GROUP BY 1, 2", r=X.FQ))
+@register("a4_adapters", sql(f"SELECT adapter, CAST(instr({UP}, adapter) - 1 AS INT) AS position, count(*) AS count FROM r, (VALUES " + ", ".join(f"('{a}')" for a in SHORT) + f") v(adapter) WHERE instr({UP}, adapter) > 0 GROUP BY 1, 2", r=X.FQ))
 def a4(s, d):
     return Q.adapters(reads(s, d), SHORT)
 
@@ -90,7 +90,7 @@ def a5(s, d):
     return Q.duplication(Q.sample(reads(s, d), SAMPLE))
 
 
-@register("a6_overrepresented", sql("SELECT seq, count(*) AS count FROM s GROUP BY seq ORDER BY count DESC, seq LIMIT 20", r=X.FQ, s="SELECT * FROM r WHERE length(translate(seq, 'ACGTN', '')) = 0"))
+@register("a6_overrepresented", sql("SELECT seq, count(*) AS count FROM r GROUP BY seq ORDER BY count DESC, seq LIMIT 20", r=X.FQ))
 def a6(s, d):
     return Q.overrepresented(reads(s, d), 20)
 
@@ -99,7 +99,7 @@ def _kmers(k: int, source: str) -> str:
     return f"SELECT read_id, upper(substr(seq, CAST(i AS INT), {k})) AS kmer FROM (SELECT read_id, seq, unnest(range(1, length(seq) - {k - 2})) AS i FROM {source} WHERE length(seq) >= {k}) WHERE regexp_full_match(substr(seq, CAST(i AS INT), {k}), '[ACGTacgt]+')"
 
 
-@register("a6_kmer_counts", sql("SELECT kmer, count(*) AS count FROM x GROUP BY kmer", r=X.FQ, s=FIRST, x=_kmers(5, "s")))
+@register("a6_kmer_counts", sql("SELECT kmer, count(*) AS count FROM x GROUP BY kmer", r=X.FQ, s=FIRST, x=_kmers(K, "s")))
 def a6b(s, d):
     return Q.kmer_counts(Q.sample(reads(s, d), SAMPLE), K)
 
@@ -142,7 +142,7 @@ def p9(s, d):
     return reads(s, d).select("read_id", G.poly_tail("seq", "A", 3).alias("poly_a"), G.poly_tail("seq", "G", 3).alias("poly_g"))
 
 
-@register("p10_adapter_position", sql("SELECT read_id, CAST(instr(upper(seq), 'ACGT') - 1 AS INT) AS position FROM r", r=X.FQ))
+@register("p10_adapter_position", sql(f"SELECT read_id, CAST(instr({UP}, 'ACGT') - 1 AS INT) AS position FROM r", r=X.FQ))
 def p10(s, d):
     return reads(s, d).select("read_id", G.adapter_start("seq", "ACGT").alias("position"))
 
@@ -158,17 +158,16 @@ def p12(s, d):
 
 
 BENCH = X.FQ.replace("doc_id", "item_id").replace("{documents}", "{benchmark}")
-ITEMS = X.READS.replace("doc_id", "item_id").replace("{documents}", "{benchmark}")
 
 
 @register("s13_reference_kmers", sql("SELECT DISTINCT kmer FROM (SELECT kmer FROM x UNION ALL SELECT translate(reverse(kmer), 'ACGT', 'TGCA') FROM x)", b=BENCH, x=_kmers(8, "b")))
 def s13(s, d):
-    return C.reference_kmers(load(s, d, ITEMS), 8)
+    return C.reference_kmers(load(s, d, BENCH), 8)
 
 
 @register("j8_kmer_hits", sql("SELECT read_id, count(*) AS hits FROM x WHERE kmer IN (SELECT kmer FROM k UNION ALL SELECT translate(reverse(kmer), 'ACGT', 'TGCA') FROM k) GROUP BY read_id HAVING count(*) >= 2", r=X.FQ, x=_kmers(8, "r"), b=BENCH, k=_kmers(8, "b")))
 def j8(s, d):
-    return C.kmer_hits(reads(s, d), C.reference_kmers(load(s, d, ITEMS), 8), 8, 2, ["read_id"])
+    return C.kmer_hits(reads(s, d), C.reference_kmers(load(s, d, BENCH), 8), 8, 2, ["read_id"])
 
 
 CONV = "SELECT conv_id, turn, concat(CASE WHEN conv_id % 10 = 0 AND turn % 2 = 1 THEN 'x' ELSE 'c' END, CAST(conv_id AS STRING), '/', CAST(1 + turn % 2 AS STRING)) AS name, turn // 2 AS pair_no FROM conversations"
@@ -187,6 +186,6 @@ def p26(s, d):
     return reads(s, d).select("read_id", G.fraction(F.length("seq") - 40, F.length("seq") - 150).alias("fraction"))
 
 
-@register("p24_hash_bucket")
+@register("p24_hash_bucket", sql("SELECT read_id, CAST(CAST('0x' || substr(md5(CAST(read_id AS STRING)), 1, 8) AS BIGINT) % 100 AS INT) AS bucket FROM r".replace("STRING", "VARCHAR"), r=X.FQ))
 def p24(s, d):
     return reads(s, d).select("read_id", G.hash_bucket("name").alias("bucket"))

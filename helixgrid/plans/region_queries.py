@@ -41,7 +41,10 @@ def a37b(s, d):
     return S.pileup(_records(s, d), START, END).select("pos", "n_c", "ins", "ins_len", "del_starts", "del_spanning")
 
 
-@register("w8_display_sample")
+SPAN = "mlen + CASE l_linenumber % 4 WHEN 2 THEN 100 WHEN 3 THEN 3 ELSE 0 END"
+
+
+@register("w8_display_sample", sql(f"SELECT {KEYS} FROM i WHERE pos0 < {END} AND pos0 + {SPAN} > {START} ORDER BY md5(concat(qname, ':', CAST(pos0 AS VARCHAR))), qname, pos0, flag LIMIT 50", m=MD, i=IN))
 def w8(s, d):
     return S.sample_reads(_records(s, d), 50).select(*KEY)
 
@@ -63,7 +66,7 @@ def u4(s, d):
     return N.exon_rows(transcripts(s, d)).select("chrom", "start", "end").distinct()
 
 
-@register("t3_sorted_junctions", sql(f'SELECT contig, pos0 + 10 AS start, pos0 + 110 AS "end", count(*) AS reads FROM a WHERE l_linenumber % 4 = 2 AND {PRIMARY} GROUP BY contig, pos0 ORDER BY contig, pos0 LIMIT 100', a=X.ALNC))
+@register("t3_sorted_junctions", sql(f'SELECT contig, pos0 + 10 AS start, pos0 + 110 AS "end", count(*) AS reads FROM a WHERE l_linenumber % 4 = 2 AND {PRIMARY} GROUP BY contig, pos0 ORDER BY contig, pos0', a=X.ALNC))
 def t3(s, d):
     primary = alnc(s, d).filter(~G.flag_is("flag", 2308)).select("contig", F.explode(G.introns("cigar", "pos0")).alias("j"))
     return primary.groupBy("contig", F.col("j.start").alias("start"), F.col("j.end").alias("end")).agg(F.count(F.lit(1)).alias("reads")).orderBy("contig", "start", "end")

@@ -40,6 +40,24 @@ def p15(s, d):
     return e.select("tx_id", "exon_no", N.spliced_position(F.col("start") + 3).alias("spliced"))
 
 
+#: A genomic range of each transcript, and the place in the middle of its spliced length.
+CLIP = 'SELECT *, greatest(start, (tx_id * 101) % 4000 + 20) AS lo, least("end", (tx_id * 101) % 4000 + 370) AS hi FROM ex'
+
+
+@register("p16_spliced_ranges", sql("SELECT tx_id, exon_no, s AS start_5p, s + hi - lo AS end_5p, total_length - s - (hi - lo) AS start_3p, total_length - s AS end_3p FROM (SELECT *, \"offset\" + CASE WHEN strand = '-' THEN \"end\" - hi ELSE lo - start END AS s FROM c WHERE lo < hi)", t=T, ex=EX, c=CLIP))
+def p16(s, d):
+    e = N.spliced_offsets(N.exon_rows(transcripts(s, d)))
+    low = (F.col("tx_id") * 101) % 4000 + 20
+    five, three = N.spliced_range(low, low + 350), N.spliced_range(low, low + 350, from_3p=True)
+    return e.select("tx_id", "exon_no", five.alias("a"), three.alias("z")).filter("a is not null").select("tx_id", "exon_no", F.col("a.start").alias("start_5p"), F.col("a.end").alias("end_5p"), F.col("z.start").alias("start_3p"), F.col("z.end").alias("end_3p"))
+
+
+@register("p16_genomic_position", sql("SELECT tx_id, CASE WHEN strand = '-' THEN \"end\" - 1 - (total_length // 2 - \"offset\") ELSE start + total_length // 2 - \"offset\" END AS pos FROM ex WHERE total_length // 2 >= \"offset\" AND total_length // 2 < \"offset\" + \"end\" - start", t=T, ex=EX))
+def p16b(s, d):
+    e = N.spliced_offsets(N.exon_rows(transcripts(s, d)))
+    return e.select("tx_id", N.genomic_position(F.floor(F.col("total_length") / 2)).alias("pos")).filter("pos is not null")
+
+
 ENDS = "SELECT *, e1e - e1s + e2e - e2s AS total_length, CASE WHEN strand = '-' THEN e2e ELSE e1s END AS five, CASE WHEN strand = '-' THEN e1s ELSE e2e END AS three FROM t"
 
 
@@ -238,7 +256,8 @@ def a30(s, d):
     return P.stratified_gene_body(longer, pct, 2000)
 
 
-@register("a31_stratified_three_prime")
+@register("a31_stratified_three_prime", sql("""SELECT stratum, CAST(bin AS INT) AS bin, count(*) FILTER (used) AS support, coalesce(sum(ratio) FILTER (used), 0) AS ratio_sum, CAST(sum(CASE WHEN used THEN bases ELSE 0 END) AS BIGINT) AS raw_analyzed, CAST(sum(bases) AS BIGINT) AS raw_all, coalesce(avg(ratio) FILTER (used), 0) AS mean
+ FROM (SELECT g.stratum, g.bin, skip_reason IS NULL AS used, coalesce(bases, 0) AS bases, least(coalesce(bases, 0) / nullif(anchor_mean, 0), 1.5) AS ratio FROM (SELECT *, CASE WHEN gene_length < 2000 THEN 'all' WHEN gene_length < 5000 THEN '2-5kb' WHEN gene_length < 10000 THEN '5-10kb' WHEN gene_length < 20000 THEN '10-20kb' ELSE '20kb+' END AS stratum, unnest(range(least(CAST(ceil(gene_length / 10) AS INT), 15))) AS bin FROM tab) g LEFT JOIN tp ON tp.gno = g.gno AND tp.bin = g.bin) WHERE stratum <> 'all' GROUP BY 1, 2""", **GX, tab=TABLE.replace("total_length AS gene_length", "total_length * (1 + CAST(substr(one.gene_id, 2) AS INT) % 60) AS gene_length")))
 def a31(s, d):
     genes, pct, three = bins(s, d)
     longer = genes.withColumn("gene_length", F.col("gene_length") * (1 + F.substr("gene_id", F.lit(2)).cast("int") % 60))
@@ -277,7 +296,11 @@ def a33b(s, d):
     return R.junction_metrics(classified(s, d))
 
 
-@register("a34_junction_saturation")
+#: The least name bucket of each junction and strand.
+BUCKETS = f"SELECT regexp_replace(lower(contig), '^chr', '') AS chrom, pos0 + 10 AS start, pos0 + 110 AS \"end\", (flag & 16) <> 0 AS minus, min(CAST('0x' || substr(md5(qname), 1, 8) AS BIGINT) % 100) AS bucket FROM a WHERE l_linenumber % 4 = 2 AND {REASON} = 'passed' GROUP BY 1, 2, 3, 4"
+
+
+@register("a34_junction_saturation", sql("""SELECT novelty, CAST(percent AS INT) AS percent, count(*) FILTER (bucket < percent) AS junctions FROM (SELECT n.novelty, h.bucket FROM n JOIN h ON h.chrom = n.chrom AND h.start = n.start AND h."end" = n."end" AND h.minus = (n.strand = '-')), range(10, 101, 10) p(percent) GROUP BY 1, 2""", a=X.ALNC, j=JN, k=KNOWN, n=NOVEL, h=BUCKETS))
 def a34(s, d):
     return R.junction_saturation(classified(s, d))
 
@@ -292,6 +315,11 @@ def j10(s, d):
     return p.select("qname", F.col("r1.pos0").alias("pos1"), F.col("r2.pos0").alias("pos2"), F.col("r1.contig").alias("contig1"), F.col("r2.contig").alias("contig2"))
 
 
+@register("t5_first_pairs", sql("SELECT qname, pno AS pair_no FROM pr ORDER BY qname, pno LIMIT 1000000", a=X.ALN, o=ORD, pr=PAIR))
+def t5(s, d):
+    return R.first_pairs(R.mate_pairs(R.passing(aln(s, d)), KEY), 1_000_000, ["qname", "pair_no"]).select("qname", "pair_no")
+
+
 #: Mates on one gene are rare in the fixture, so names are those of a window of a contig.
 NEAR = f"SELECT * REPLACE (concat(contig, ':', CAST(pos0 // 40 AS STRING)) AS qname) FROM ({X.ALNC}) q"
 ID = {"t": T, "e": ENDS, "u": NUM, "one": ONE, "ex": EX.replace("FROM t", "FROM one"), "a": NEAR, "o": ORD, "pr": PAIR,
@@ -329,3 +357,17 @@ def f15(s, d):
 @register("a24_rna_counters", sql(f"SELECT count(*) AS reads, count(*) FILTER (contig = 'chrM') AS mito FROM a WHERE {REASON} = 'passed'", a=X.ALN))
 def a24(s, d):
     return R.mito_counts(R.passing(aln(s, d)))
+
+
+RDNA = f"SELECT contig, regexp_replace(lower(contig), '^chr', '') IN ('3', '9') OR EXISTS (SELECT 1 FROM c WHERE c.chrom = q.contig AND c.start <= mid AND mid < c.\"end\") AS hit FROM (SELECT *, pos0 + CASE WHEN l_linenumber % 4 = 2 THEN mlen + 100 WHEN l_linenumber % 4 = 3 THEN mlen + 3 ELSE mlen END // 2 AS mid FROM a WHERE {REASON} = 'passed') q"
+
+
+@register("a24_ribosomal_counters", sql("SELECT count(*) AS aligned_qc_reads, count(*) FILTER (contig = 'chrM') AS mtdna_reads, count(*) FILTER (hit) AS rdna_reads FROM r", a=X.ALNC, c=X.CONTAM, r=RDNA))
+def a24b(s, d):
+    return R.counters(R.passing(alnc(s, d)), load(s, d, X.CONTAM), KEY, ("chr3", "CHR9"), 256)
+
+
+@register("a39_merge_counts", sql(f"SELECT {REASON} AS reason, CAST(2 * count(*) AS BIGINT) AS count FROM a GROUP BY 1", a=X.ALN))
+def a39(s, d):
+    one = R.filter_counts(aln(s, d))
+    return R.merge_counts([one, one], ["reason"])

@@ -16,7 +16,7 @@ from helixgrid.sources.intervals import tab_rows
 def read_gtf(spark: SparkSession, path: str | list[str], biotypes: str | None = None, plus_only: bool = False) -> DataFrame:
     """exon and CDS lines, grouped by transcript. Tags are sought in all attributes of all lines of a transcript; gzip by suffix."""
     f = lambda i: F.get(F.col("f"), F.lit(i))
-    lines = tab_rows(spark, path, 9).filter(f(2).isin("exon", "CDS")).select(f(0).alias("chrom"), f(2).alias("feature"), (f(3).cast("long") - 1).alias("start"), f(4).cast("long").alias("end"), f(6).alias("strand"), f(8).alias("attr"))
+    lines = tab_rows(spark.read.text(path), 9).filter(f(2).isin("exon", "CDS")).select(f(0).alias("chrom"), f(2).alias("feature"), (f(3).cast("long") - 1).alias("start"), f(4).cast("long").alias("end"), f(6).alias("strand"), f(8).alias("attr"))
     biotype = F.coalesce(*[gtf_attribute("attr", k) for k in ("transcript_biotype", "transcript_type", "gene_biotype", "gene_type")])
     rows = lines.select("*", gtf_attribute("attr", "transcript_id").alias("transcript_id"), F.coalesce(gtf_attribute("attr", "gene_id"), gtf_attribute("attr", "gene")).alias("gene_id"), gtf_attribute("attr", "gene_name").alias("gene_name"), biotype.alias("biotype")).filter("transcript_id is not null")
     if plus_only:
@@ -39,7 +39,7 @@ def read_bed12(spark: SparkSession, path: str | list[str], gene_id_regex: str |
     """Blocks are exons, the thick part is coding if it isn't empty. The gene id is the regex's first group of the name, else what stands before the delimiter, else the name. No biotype: filters on it let BED12 pass."""
     f = lambda i: F.get(F.col("f"), F.lit(i))
     numbers = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("long"))
-    rows = tab_rows(spark, path, 12).select(f(0).alias("chrom"), f(1).cast("long").alias("at"), f(3).alias("name"), f(5).alias("strand"), f(6).cast("long").alias("t0"), f(7).cast("long").alias("t1"), numbers(f(10)).alias("sizes"), numbers(f(11)).alias("starts"))
+    rows = tab_rows(spark.read.text(path), 12).select(f(0).alias("chrom"), f(1).cast("long").alias("at"), f(3).alias("name"), f(5).alias("strand"), f(6).cast("long").alias("t0"), f(7).cast("long").alias("t1"), numbers(f(10)).alias("sizes"), numbers(f(11)).alias("starts"))
     exons = F.sort_array(F.transform(F.arrays_zip("sizes", "starts"), lambda x: F.struct((F.col("at") + x["starts"]).alias("start"), (F.col("at") + x["starts"] + x["sizes"]).alias("end"))))
     gene, how = F.col("name"), F.lit("name")
     if gene_id_delimiter:

@@ -90,21 +90,21 @@ class FastqSource(DataSource):
 class _FastaReader(_Files):
     def __init__(self, options: dict) -> None:
         super().__init__(options)
-        self.window = int(options["window"])
+        self.window, self.overlap = int(options["window"]), int(options.get("overlap", 0))
 
     def read(self, partition: _File):
         name, held, at = None, b"", 0
         for line in lines(partition.path):
             if line.startswith(b">"):
-                if held:
+                if len(held) > (self.overlap if at else 0):
                     yield name, at, held.decode()
                 name, held, at = line[1:].split(None, 1)[0].decode() if line[1:].strip() else "", b"", 0
                 continue
             held += line.strip()
-            while len(held) >= self.window:
-                yield name, at, held[: self.window].decode()
+            while len(held) >= self.window + self.overlap:
+                yield name, at, held[: self.window + self.overlap].decode()
                 held, at = held[self.window :], at + self.window
-        if held:
+        if len(held) > (self.overlap if at else 0):
             yield name, at, held.decode()
 
 
@@ -139,9 +139,9 @@ def read_paired_fastq(spark: SparkSession, first: str, second: str, offset: int
     return pair(read_fastq(spark, first, offset, 1), read_fastq(spark, second, offset, 2))
 
 
-def read_fasta(spark: SparkSession, paths: str | list[str], window: int = 100_000) -> DataFrame:
-    """chrom, start, seq in windows of that size: a range is fetched by joining on the window number."""
-    return _load(spark, FastaSource, paths, window=window)
+def read_fasta(spark: SparkSession, paths: str | list[str], window: int = 100_000, overlap: int = 0) -> DataFrame:
+    """chrom, start, seq in windows of that size: a range is fetched by joining on the window number. A window holds `overlap` bases of the next one, too."""
+    return _load(spark, FastaSource, paths, window=window, overlap=overlap)
 
 
 def fasta_ranges(fasta: DataFrame, ranges: DataFrame, window: int = 100_000) -> DataFrame:
