@@ -3,12 +3,14 @@
 Records are dealt into shards by ranges of their integer id. The ranges follow from an exact histogram of payload bytes
 over stretches of the id range (heavy ones are divided again), so they depend on the rows alone, not on how they lay on the cluster. A
 shard is written in order of id: each record is a gzip member of its own, and a file is rolled once its compressed size
-reaches `roll_bytes`. Headers and digests are made anew from the payload; record ids are derived from page id and
+reaches `roll_bytes`; unless given, that is a part of `ROLL_PARTS` of all payload bytes, between `LEAST_ROLL` and
+`MOST_ROLL`. Headers and digests are made anew from the payload; record ids are derived from page id and
 digest, the date is a parameter. So equal input gives equal bytes.
 
 Commit: a file is written under a temporary name that no other attempt uses, and moved to its final name when complete;
 a repeated attempt moves the same bytes there. The list of files with sizes and checksums is written as Parquet by
-Spark's own commit, last; readers open what the manifest lists, and nothing else.
+Spark's own commit; then temporary files that killed attempts left are removed. Readers open what the manifest lists,
+and nothing else: a task reads files of about `READ_BYTES` together, or one larger file.
 
 Of records with equal payloads of at least `least_bytes`, the one with the largest id is the response; the others are
 revisits without payload that refer to it. Digests are grouped with partial maxima and joined, without payloads, to
@@ -17,7 +19,8 @@ the ids that repeat them; what that gives are marks, which meet their pages in t
 Defined cases: a null html is an empty payload; a null or empty url gives no WARC-Target-URI, and bytes that a header
 can't hold are percent-encoded; rows that repeat an id are written each, and where they repeat the largest id of their
 payload all are responses; a null id is below all others and is written with an empty X-Page-Id; other columns are
-dropped; an empty table gives an empty manifest and no record.
+dropped; an empty table gives an empty manifest and no record. The html column is read twice: for digests, and to be
+written.
 """
 
 from __future__ import annotations
@@ -34,9 +37,10 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixgrid.llm.session import prepare
+from helixgrid.llm.session import cut, prepare
 
-ROLL_BYTES = 64 << 20
+LEAST_ROLL, MOST_ROLL, ROLL_PARTS = 1 << 20, 1 << 30, 1 << 16
+READ_BYTES = 1 << 20
 SHARD_BYTES = 16 << 20
 BINS = 4_096
 MOST_SHARDS = 4_096  # beyond, shards grow; files still roll
@@ -112,36 +116,32 @@ class _File:
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string"
 
 
-def _place(at: Column, starts: list[int]) -> Column:
-    """How many of the ascending starts are at most `at`, less one: a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(at < starts[mid], tree(lo, mid)).otherwise(tree(mid, hi))
-
-    return tree(0, len(starts))
+def _place(at: str, starts: list[int]) -> Column:
+    """How many of the ascending starts are at most the column `at`, less one: binary search in one array, which the plan holds as a literal."""
+    array = f"cast(split('{','.join(map(str, starts))}', ',') as array<bigint>)"
+    middle = "int((s.lo + s.hi) div 2)"
+    step = f"if(s.hi - s.lo <= 1, s, if({at} < {array}[{middle}], named_struct('lo', s.lo, 'hi', {middle}), named_struct('lo', {middle}, 'hi', s.hi)))"
+    return F.expr(f"aggregate(sequence(1, {max(1, len(starts).bit_length())}), named_struct('lo', 0, 'hi', {len(starts)}), (s, i) -> {step}, s -> s.lo)")
 
 
 def _shards(rows: DataFrame, shard_bytes: int) -> list[int]:
-    """The first id of each shard. rows: id, stored. Stretches of ids that are too heavy are divided again, exactly, until a shard holds about shard_bytes or a single id."""
-    lo, hi, total = rows.agg(F.min("id"), F.max("id"), F.sum("stored")).first()
+    """The first id of each shard. rows: id, length. Stretches of ids that are too heavy are divided again, exactly, until a shard holds about shard_bytes or a single id."""
+    lo, hi = rows.agg(F.min("id"), F.max("id")).first()
     if lo is None:
         return [0]
-    shard_bytes = max(shard_bytes, total // MOST_SHARDS)
     light: list[tuple[int, int]] = []
     heavy, bins = [(lo, hi + 1)], BINS
     while heavy:
         edges = sorted({x for cell in heavy for x in cell})
-        place = {edges.index(a): (a, (b - a - 1) // bins + 1) for a, b in heavy}
-        start = F.element_at(F.array(*[F.lit(x) for x in edges]), F.col("cell") + 1)
-        width = F.element_at(F.array(*[F.lit(place[i][1] if i in place else 0) for i in range(len(edges))]), F.col("cell") + 1)
-        within = rows.filter((F.col("id") >= edges[0]) & (F.col("id") < edges[-1])).withColumn("cell", _place(F.col("id"), edges)).filter(F.col("cell").isin(*place))
-        sizes = within.groupBy("cell", F.floor((F.col("id") - start) / width).cast("int").alias("bin")).agg(F.sum("stored").alias("n")).collect()  # at most `bins` rows for each heavy stretch
+        index = {x: i for i, x in enumerate(edges)}
+        width = {index[a]: (b - a - 1) // bins + 1 for a, b in heavy}
+        listed = lambda values: F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+        within = rows.filter((F.col("id") >= edges[0]) & (F.col("id") < edges[-1])).withColumn("cell", _place("id", edges)).withColumn("width", F.element_at(listed([width.get(i, 0) for i in range(len(edges))]), F.col("cell") + 1)).filter("width > 0")
+        start = F.element_at(listed(edges), F.col("cell") + 1)
+        sizes = within.groupBy("cell", F.floor((F.col("id") - start) / F.col("width")).cast("int").alias("bin")).agg(F.sum("length").alias("n")).collect()  # at most `bins` rows for each heavy stretch
         heavy = []
         for cell, b, n in sizes:
-            a, w = place[cell]
+            a, w = edges[cell], width[cell]
             if n > shard_bytes and w > 1:
                 heavy.append((a + b * w, a + (b + 1) * w))
             else:
@@ -156,21 +156,23 @@ def _shards(rows: DataFrame, shard_bytes: int) -> list[int]:
     return out
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, least_bytes: int = 0, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write(pages: DataFrame, folder: str, roll_bytes: int | None = None, shard_bytes: int = SHARD_BYTES, least_bytes: int = 0, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the archives and their manifest below `folder` (a URI all executors can write), and returns the manifest."""
     spark = prepare(pages.sparkSession)
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     hashed = own.select("*", F.octet_length("payload").cast("long").alias("length"), F.unhex(F.sha1("payload")).alias("digest"))
+    small = cut(hashed.select("id", "url", "digest", "length"))
     repeated = (
-        hashed.filter(F.col("length") >= least_bytes).groupBy("digest", "length")
+        small.filter(F.col("length") >= least_bytes).groupBy("digest", "length")
         .agg(F.max("id").alias("response"), F.max(F.struct("id", "url"))["url"].alias("response_url"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and response is not null").select(F.col("digest").alias("_d"), F.col("length").alias("_l"), "response", "response_url")
     )
-    starts = _shards(own.select("id", F.octet_length("payload").cast("long").alias("stored")), shard_bytes)
-    shard = F.when(F.col("id").isNull(), 0).otherwise(_place(F.col("id"), starts)).cast("int").alias("shard")
+    total = small.agg(F.sum("length")).first()[0] or 0
+    roll = roll_bytes or min(max(total // ROLL_PARTS, LEAST_ROLL), MOST_ROLL)
+    starts = _shards(small, max(shard_bytes, total // MOST_SHARDS))
+    shard = F.when(F.col("id").isNull(), 0).otherwise(_place("id", starts)).cast("int").alias("shard")
     # a revisit is told by a mark that is sorted before its page, so payloads are dealt out once and joined to nothing
-    small = hashed.select("id", "digest", "length").distinct()
-    marks = small.join(repeated, (F.col("digest") == F.col("_d")) & (F.col("length") == F.col("_l"))).filter(~F.col("id").eqNullSafe(F.col("response")))
+    marks = small.select("id", "digest", "length").distinct().join(repeated, (F.col("digest") == F.col("_d")) & (F.col("length") == F.col("_l"))).filter(~F.col("id").eqNullSafe(F.col("response")))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     mark_rows = marks.select(shard, "id", F.lit(0).alias("kind"), none("string", "url"), none("binary", "payload"), "digest", "length", "response", "response_url")
     page_rows = hashed.select(shard, "id", F.lit(1).alias("kind"), "url", "payload", "digest", "length", none("long", "response"), none("string", "response_url"))
@@ -189,7 +191,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
                 if kind.as_py() == 0:
                     mark = (which, (response.as_py(), response_url.as_py()))
                     continue
-                if now is not None and (s != now.shard or now.size >= roll_bytes):
+                if now is not None and (s != now.shard or now.size >= roll):
                     part = part + 1 if s == now.shard else 0
                     done.append(now.close())
                     now = None
@@ -207,6 +209,9 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
             yield _manifest([now.close()])
 
     dealt.mapInArrow(put, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    for left in store.get_file_info(fs.FileSelector(path)):
+        if left.type == fs.FileType.File and left.base_name.startswith(".shard-") and left.base_name.endswith(".tmp"):
+            store.delete_file(left.path)
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -252,7 +257,9 @@ RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The response and revisit records of the files that the manifest lists. A revisit's payload is null; its length and digest are those it refers to."""
     prepare(spark)
-    files = spark.read.parquet(f"{folder}/manifest").select("file").orderBy("file")
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    n, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, -(-size // READ_BYTES), MOST_SHARDS))
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, where = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
@@ -280,7 +287,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     yield _records(out)
 
     # one row per file; each is read where its row lies
-    return files.repartitionByRange("file").mapInArrow(get, RECORDS)
+    return manifest.select("file").repartitionByRange(tasks, "file").mapInArrow(get, RECORDS)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:

@@ -48,3 +48,21 @@ def test_defined_cases(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(df, f"{tmp_path}/f")
     assert warc.read(spark, f"{tmp_path}/f").count() == 0
+
+
+def test_files_roll_and_are_read_apart(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/g")
+    open(f"{tmp_path}/g/.shard-000000-00000.warc.gz.killed.tmp", "wb").write(b"half")
+    df = spark.createDataFrame([(i, "u", "".join(hashlib.sha512(f"{i}:{k}".encode()).hexdigest() for k in range(700))) for i in range(40)], "page_id long, url string, html string")
+    files = warc.write(df, f"{tmp_path}/g").collect()
+    assert len({f.shard for f in files}) < len(files) and not [x for x in os.listdir(f"{tmp_path}/g") if x.endswith(".tmp")]
+    assert max(f.bytes for f in files) < warc.LEAST_ROLL + 100_000
+    got = warc.read(spark, f"{tmp_path}/g")
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 40
+
+
+def test_places_equal_a_plain_search(spark):
+    starts = [-7, 0, 5, 6, 1000, 10**15]
+    df = spark.createDataFrame([(x,) for x in (-7, -1, 0, 4, 5, 6, 999, 1000, 10**15, 10**18)], "id long")
+    assert [r[0] for r in df.select(warc._place("id", starts)).collect()] == [0, 0, 1, 1, 2, 3, 3, 4, 5, 5]
+    assert df.select(warc._place("id", [3])).distinct().collect()[0][0] == 0
