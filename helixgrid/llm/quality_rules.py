@@ -11,7 +11,9 @@ verdicts are joined back by host (a hot host is split by skew handling or the ve
 Repeated windows: each 8-word window becomes a 64-bit hash, kept in the text's own array. Where a text has as many
 distinct hashes as windows nothing repeats; otherwise (hash, position) pairs are sorted, and the windows whose hash
 stands beside an equal one cover their words; the union's length is the sum of min(8, distance to the next).
-Everything stays in Spark's expressions; no text is split over rows and no text is shuffled.
+Two different windows of a text of w windows share a hash with a probability below w * w / 2**65. Everything stays in
+Spark's expressions; no text is split over rows and no text is shuffled. The rules' narrow columns are written to the
+shared folder once, and read for the hosts' counts and for the verdicts.
 
 Defined cases: a null text has no words and fails; a null host is a host of its own (its rows join by null-safe
 equality); repeated rows count each; other columns are dropped; an empty table gives an empty table.
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixgrid.llm.session import cut
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -68,7 +72,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """Columns: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, kept."""
-    judged = base_rules(docs, id_col, text_col, host_col)
+    judged = cut(base_rules(docs, id_col, text_col, host_col))  # nine narrow columns: texts are read once
     verdicts = host_rates(judged).select(F.col("host").alias("judged_host"), (F.col("host_rate") > host_limit).alias("host_failed"))
     joined = judged.join(verdicts, F.col("host").eqNullSafe(F.col("judged_host")))
     out = joined.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
