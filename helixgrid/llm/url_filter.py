@@ -34,11 +34,10 @@ DAMPING = 85  # of a hundred
 FINE = 10**12
 TOLERANCE = 10**6
 PARTS = "decimal(26,0)"
-#: Of the SQL only.
-STEPS = 10
 THRESHOLD = 50  # of a hundred
-FLOOR = 1  # of a million; of the SQL only
-HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
+#: Steps after which the SQL text ends; enough for 100 million seeds, since each step moves 85 % of the last one's mass at most.
+STEPS = 200
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def lower_ascii(c: Column) -> Column:
@@ -112,10 +111,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: i
     return out.withColumnRenamed("id", id_col)
 
 
-def oracle(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: int = DAMPING, threshold: int = THRESHOLD, floor: int = FLOOR) -> str:
-    """DuckDB over the view `pages`: STEPS steps, a floor and shares cut to parts of MASS, which judge() has no more. The same where no host links to another."""
+def oracle(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: int = DAMPING, threshold: int = THRESHOLD) -> str:
+    """DuckDB over the view `pages`. Every fifth step's ranks are compared with those five steps before; the first that moved little enough count."""
     low = lambda x: f"translate({x}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     values = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in rules)
+    quoted = HREF.replace("'", "''")
     ctes = [
         f"rules(verdict, rule, rhost, rpath) AS (VALUES {values})",
         f"p AS MATERIALIZED (SELECT row_number() OVER () AS rid, page_id, coalesce({low("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(html, '') AS html FROM pages)",
@@ -124,13 +124,19 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping
         "votes AS (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM judged WHERE host <> '' GROUP BY host)",
         "start AS (SELECT CASE WHEN 2 * a > n THEN 0 ELSE 1 END AS way, host FROM votes WHERE 2 * a > n OR 2 * b > n)",
         f"base AS MATERIALIZED (SELECT way, host, {MASS} // count(*) OVER (PARTITION BY way) AS seed FROM start)",
-        """links AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1))) AS dst FROM p)""",
+        f"links AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{quoted}', 1))) AS dst FROM p)",
         f"edges AS (SELECT src, dst, count(*) AS links FROM (SELECT src, {low("regexp_extract(CASE WHEN starts_with(dst, '//') THEN 'x:' || dst ELSE dst END, '(?s)^.*?://([^/?#]*)', 1)")} AS dst FROM links WHERE regexp_matches(dst, '^([A-Za-z][A-Za-z0-9+.-]*:)?//')) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
         "both_ways AS (SELECT 0 AS way, src AS a, dst AS b, links FROM edges UNION ALL SELECT 1, dst, src, links FROM edges)",
-        "graph AS MATERIALIZED (SELECT *, CAST(sum(links) OVER (PARTITION BY way, a) AS BIGINT) AS all_links FROM both_ways)",
-        "r0 AS (SELECT way, host, seed AS mass FROM base)",
+        "graph AS MATERIALIZED (SELECT *, CAST(sum(links) OVER (PARTITION BY way, a) AS HUGEINT) AS all_links FROM both_ways)",
+        f"kept AS MATERIALIZED (SELECT way, host, CAST({100 - damping} * seed // 100 AS HUGEINT) * {FINE} AS mass FROM base)",
+        f"r0 AS MATERIALIZED (SELECT way, host, CAST(seed AS HUGEINT) * {FINE} AS mass FROM base)",
     ]
+    stops = []
     for k in range(1, steps + 1):
-        ctes.append(f"r{k} AS MATERIALIZED (SELECT way, host, CAST(sum(mass) AS BIGINT) AS mass FROM (SELECT g.way, g.b AS host, (({damping} * mass // 100) // all_links) * links AS mass FROM graph g JOIN r{k - 1} r ON g.way = r.way AND g.a = r.host UNION ALL SELECT way, host, {100 - damping} * seed // 100 FROM base) GROUP BY way, host)")
-    ctes.append(f"ranks AS (SELECT host, CAST(sum(CASE WHEN way = 0 THEN mass ELSE 0 END) AS BIGINT) AS trust, CAST(sum(CASE WHEN way = 1 THEN mass ELSE 0 END) AS BIGINT) AS distrust FROM r{steps} GROUP BY host)")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust * 100 > (trust + distrust) * {threshold} AND distrust * 1000000 > {floor} * {MASS} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM judged j LEFT JOIN ranks r ON j.host = r.host"
+        ctes.append(f"r{k} AS MATERIALIZED (SELECT way, host, CAST(sum(mass) AS HUGEINT) AS mass FROM (SELECT g.way, g.b AS host, ({damping} * mass // 100) * links // all_links AS mass FROM graph g JOIN r{k - 1} r ON g.way = r.way AND g.a = r.host UNION ALL SELECT way, host, mass FROM kept) GROUP BY way, host)")
+        if k % 5 == 0:
+            stops.append(f"SELECT {k} AS k, sum(moved) AS moved FROM (SELECT abs(sum(mass)) AS moved FROM (SELECT way, host, -mass AS mass FROM r{k - 5} UNION ALL SELECT way, host, mass FROM r{k}) GROUP BY way, host)")
+    ctes.append(f"stop AS MATERIALIZED (SELECT min(k) AS k FROM ({' UNION ALL '.join(stops)}) WHERE moved * {TOLERANCE} < (SELECT CAST(min(seed) AS HUGEINT) * {FINE} FROM base))")
+    ctes.append("last AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT way, host, mass FROM r{k}, stop WHERE stop.k = {k}" for k in range(5, steps + 1, 5)) + ")")
+    ctes.append("ranks AS (SELECT host, CAST(sum(CASE WHEN way = 0 THEN mass ELSE 0 END) AS HUGEINT) AS trust, CAST(sum(CASE WHEN way = 1 THEN mass ELSE 0 END) AS HUGEINT) AS distrust FROM last GROUP BY host)")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust * 100 > (trust + distrust) * {threshold} THEN 'block' ELSE 'allow' END) AS verdict, CAST(coalesce(trust // {FINE}, 0) AS BIGINT) AS trust, CAST(coalesce(distrust // {FINE}, 0) AS BIGINT) AS distrust FROM judged j LEFT JOIN ranks r ON j.host = r.host"

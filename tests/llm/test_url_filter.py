@@ -1,3 +1,5 @@
+import random
+
 from helixgrid.llm import url_filter
 from tests.llm import sql
 
@@ -40,3 +42,19 @@ def test_far_hosts_and_small_shares_count(spark):
     assert {i: r.verdict for i, r in got.items()} == {p[0]: "block" for p in pages}
     assert got[1000].distrust > 0 and abs(got[2000].distrust - 50 * got[1000].distrust) <= 50
     assert got[11].distrust > 0 and all(got[i].distrust <= got[i - 1].distrust for i in range(1, 25))
+
+
+def test_a_linked_web_equals_sql(spark):
+    """Thousands of pages, a host with a third of them, repeated page ids, and links between hosts."""
+    rng = random.Random(3)
+    hosts = ["hot.test"] * 30 + [f"h{i}.test" for i in range(50)] + ["bad.net", "worse.net", "fine.org", "ok.org"]
+    pages = []
+    for i in range(3_000):
+        h = rng.choice(hosts)
+        near = [x for x in hosts if sum(map(ord, x)) % 3 == sum(map(ord, h)) % 3]
+        to = [f"http://{rng.choice(near)}/{rng.randrange(5)}" for _ in range(rng.randrange(4))]
+        pages.append((i // 2 if i < 20 else i, f"http://{h}/{'fr' if rng.random() < 0.8 else 'x'}/{i}", link(*to) + '<a data-href="http://bad.net/">'))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = url_filter.judge(df)
+    assert sql.of(got) == sql.rows(url_filter.oracle(), pages=("page_id bigint, url varchar, html varchar", pages))
+    assert {r.verdict for r in got.filter("rule is null").collect()} == {"allow", "block"}
