@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixgrid.llm.session import cut, prepare
+from helixgrid.llm.session import cut, prepare, unused
 from helixgrid.llm.textkernel import LOWER, PUNCTUATION, blocks, mix, shingles, word_hashes, words
 
 WORDS = 5
@@ -36,6 +36,7 @@ PERCENT = 80
 SMALL = 16
 LEVELS = 34  # partitions: up to 2**34 shingles
 FILTER_BITS = 27  # 16 MB
+SALTS = 16
 
 
 def sets(texts: pa.Array, k: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
@@ -135,11 +136,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc
 
     own = docs.select(F.col(doc_id).alias("doc"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"))
     found = cut(own.mapInArrow(search, f"doc {kind}, row long, entries array<long>, hits array<long>"))
-    pairs = (
-        found.select("row", F.explode("entries").alias("entry"))
-        .join(items.select("uid", F.explode("entries").alias("entry")), "entry")
-        .select("row", "uid").distinct()
-    )
+    # an entry that many documents hold is dealt out by a salt of the document
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    of_items = items.select("uid", F.explode("entries").alias("entry")).distinct().withColumn("salt", salts)
+    pairs = found.select("row", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("entries").alias("entry")).join(of_items, ["entry", "salt"]).select("row", "uid").distinct()
     verified = (
         pairs.join(items.select("uid", "item", "size", "shingles"), "uid")
         .join(found.select("row", "doc", "hits"), "row")
@@ -151,8 +151,9 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs, with all their columns, that contain no item. Rows that share an id go together; those without one go by their own text."""
     key = F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.concat(F.lit("n"), F.sha2("text", 256)))  # null for no id and no text
-    bad = contained(docs.select(key.alias("_key"), "text"), benchmark, percent, "_key").select(F.col("_key").alias("_bad")).distinct()
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    name = unused(docs, "bad")
+    bad = contained(docs.select(key.alias("_key"), "text"), benchmark, percent, "_key").select(F.col("_key").alias(name)).distinct()
+    return docs.join(bad, key == F.col(name), "left_anti")
 
 
 _SHINGLES = r"""
