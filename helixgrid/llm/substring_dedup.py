@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixgrid.llm.session import prepare
+from helixgrid.llm.session import prepare, unused
 from helixgrid.llm.textkernel import _ORDER, LOWER, PUNCTUATION, Block, blocks, mix, word_hashes, words
 
 ANCHOR = 6
@@ -152,9 +152,10 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, anchor: int, unit_
 
 def _packed(docs: DataFrame, lists: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rest, text, and the list of the id or null. The same join wherever it is used, so that texts are dealt out once."""
-    joined = docs.join(lists.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left")
+    of, held = unused(docs, "of_id"), unused(docs, "list")
+    joined = docs.join(lists.select(F.col("id").alias(of), F.col("list").alias(held)), F.col(id_col) == F.col(of), "left")
     # other columns ride along as one struct, whatever their names; one join for changed and unchanged rows, as it deals out all texts
-    return joined.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"), "list")
+    return joined.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"), F.col(held).alias("list"))
 
 
 def _staying(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, anchor: int, unit_words: int, line_words: int) -> DataFrame:
@@ -199,11 +200,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", an
     return again.groupBy("id").agg(F.collect_list(F.struct("at", "digest", own_end.alias("own_end"), "first.before", "first.after")).alias("list"))  # as many as the document has units at most
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
-    """All columns of docs, text_col without repeated lines and passages, and `removed`: array of (start, end) in code points of the original."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS, removed_as: str = "removed") -> DataFrame:
+    """All columns of docs, text_col without repeated lines and passages, and `removed_as`: array of (start, end) in code points of the original. A column of that name gives way."""
     prepare(docs.sparkSession)
-    if "removed" in docs.columns:
-        docs = docs.drop("removed")
+    docs = docs.drop(removed_as)
     packed = _packed(docs, removals(docs, id_col, text_col, anchor, unit_words, line_words), id_col, text_col)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -242,7 +242,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ancho
 
     rest = packed.schema["rest"].dataType.simpleString()
     changed = packed.mapInArrow(run, f"rest {rest}, text string, removed array<struct<start:int,end:int>>")
-    return changed.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], "removed")
+    return changed.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], F.col("removed").alias(removed_as))
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[list[int]]:

@@ -86,3 +86,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert tokens == {i: byte_bpe.brute_force(t, ranks, pattern) for i, t in texts["decontaminate"].items()}
     assert sorted(r.ids_sha256 for r in corpus_pipeline.run(spark, d).collect()) == sorted(t[1] for t in tokens.values())
     assert all(t[2] == hashlib.sha256(texts["decontaminate"][i].encode()).hexdigest() for i, t in tokens.items())
+
+
+def test_clashing_columns_null_ids_and_no_rows(spark, tmp_path):
+    text = "lorem ipsum dolor sit amet elit " * 9
+    rows = [(i, f"{text} w{i}", "xx", 0, "a", "b", "c", "d", "e") for i in range(1, 12)] + [(None, text, "xx", 0, "a", "b", "c", "d", "e"), (3, None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, score int, lang_pred string, removed string, gone string, list string, component_id string"
+    spark.createDataFrame([(1, "no such words " * 4)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, data in (("some", rows), ("none", [])):
+        now = spark.createDataFrame(data, schema)
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{n}")
+            now = spark.read.parquet(f"{tmp_path}/{name}{n}")
+            assert [(f.name, f.dataType.simpleString()) for f in now.schema] == [tuple(c.split()) if c.split()[1] != "long" else (c.split()[0], "bigint") for c in schema.split(", ")]
+        kept = {r.doc_id: (r.score, r.removed, r.gone, r.list) for r in now.collect()}
+        assert kept == ({1: (0, "b", "c", "d"), None: (0, "b", "c", "d")} if data else {})
+        assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == len(kept)
