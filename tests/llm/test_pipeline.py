@@ -89,7 +89,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 
 def test_clashing_columns_null_ids_and_no_rows(spark, tmp_path):
-    text = "lorem ipsum dolor sit amet elit " * 9
+    text = " ".join(f"lorem{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     rows = [(i, f"{text} w{i}", "xx", 0, "a", "b", "c", "d", "e") for i in range(1, 12)] + [(None, text, "xx", 0, "a", "b", "c", "d", "e"), (3, None, None, None, None, None, None, None, None)]
     schema = "doc_id long, text string, lang string, score int, lang_pred string, removed string, gone string, list string, component_id string"
     spark.createDataFrame([(1, "no such words " * 4)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
