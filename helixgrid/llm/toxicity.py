@@ -9,7 +9,8 @@ the two compress alike but where a window has a toxic segment.
 A text is cut into windows of about `WINDOW` bytes at word ends; a window's distance is its compressed length under the
 ordinary dictionary minus that under the toxic one. Each distance has a log-likelihood ratio, learnt from whole training
 texts; a text's evidence is the sum of the positive ones over a slowly growing function of its number of windows, and a
-logistic curve, fitted with the classes' true weights, turns it into a score.
+logistic curve, fitted with the classes' true weights, turns it into a score. The threshold is calibrated: log-odds from
+`LOWEST` to 0 count as 0.5, the lowest at which at most `FALSE_SHARE` of the ordinary training texts are marked.
 
 Training reads a sample of at most about `per_class` labelled documents of each class; what reaches the driver is the
 segments, `BASE_WINDOWS` windows and one histogram per sampled document. Scoring covers all windows of all texts.
@@ -42,6 +43,8 @@ PER_CLASS = 3_000
 MIN_RATIO = 8.0
 MIN_CONTEXTS = 6
 MIN_CONTEXT_SHARE = 0.012  # of the toxic sample
+FALSE_SHARE = 0.012
+LOWEST = -2.0
 LOW, HIGH = -1, 8  # distances beyond count as these
 
 _WINDOW = re.compile(rb"[^\x20\x09-\x0D](?s:.{0,%d})[^\x20\x09-\x0D]*" % (WINDOW - 2))
@@ -188,7 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "
     ratio = np.log(per_class_share[1] / per_class_share[0])
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum())) / (counts[0] + counts[1]) * len(y)
     slope, offset = _fit_curve(evidence(h, ratio), y, weight)
-    return Model(toxic, ordinary, tuple(ratio.tolist()), slope, offset)
+    ordinary_odds = slope * evidence(h[y == 0], ratio) + offset
+    threshold = float(np.clip(np.quantile(ordinary_odds, 1 - FALSE_SHARE, method="higher") + 1e-6, LOWEST, 0.0))
+    return Model(toxic, ordinary, tuple(ratio.tolist()), slope, offset - threshold)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
