@@ -23,6 +23,9 @@ ADAPTERS = (
 RNA_MITO = ("m", "mt", "chrm", "chrmt")
 CONTAM_MITO = ("m", "mt", "mitochondria")
 
+#: Bases of a read whose k-mers are cut from one piece.
+PIECE = 128
+
 _OPS = "array<struct<len:int,op:string>>"
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -141,10 +144,19 @@ def adapter_start(seq: Column | str, adapter: str) -> Column:
 
 
 def kmers(seq: Column | str, k: int) -> Column:
-    """All upper-case k-mers of A, C, G and T, repeats included."""
-    s = upper_ascii(seq)
-    starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.substr(s, i, F.lit(k))), lambda x: x.rlike("^[ACGT]+$"))
+    """All upper-case k-mers of A, C, G and T, repeats included.
+
+    A substring is sought from its text's beginning, so a long read is cut into pieces that overlap by k - 1 first; and
+    the read is a lambda's argument, so its letters are folded once.
+    """
+
+    def pieces(s: Column) -> Column:
+        starts = F.when(F.length(s) >= k, F.sequence(F.lit(0), F.length(s) - k, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(s, i + 1, F.lit(PIECE + k - 1)))
+
+    cut = F.flatten(F.transform(F.array(upper_ascii(seq)), pieces))
+    every = F.flatten(F.transform(cut, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substr(p, i, F.lit(k)))))
+    return F.filter(every, lambda x: F.length(F.translate(x, "ACGT", "")) == 0)
 
 
 def read_name(name: Column | str) -> Column:
