@@ -45,3 +45,34 @@ def test_known_marks_are_no_letters(spark):
     odd = spark.createDataFrame([(1, "— “ ” —"), (2, "été — “"), (3, "— lorem —")], "doc_id long, text string")
     got = [(r.doc_id, r.lang_pred, r.score > 0) for r in L.predict(odd, L.train(df, F.lit(True))).orderBy("doc_id").collect()]
     assert got == [(1, "und", False), (2, "xx", True), (3, "xx", True)]
+
+
+def test_scores_equal_plain_python(spark):
+    model = L.train(docs(spark), F.lit(True), slot_bits=7)  # so full that false answers are many
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    def brute(text):
+        letters = "".join(c.lower() if c.isascii() and c.isalpha() else c if not c.isascii() else " " for c in text)
+        words = " ".join(letters.split(" ")).split()
+        if not words or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        line = (" " + " ".join(words) + "   ").encode()
+        grams = [int.from_bytes(line[i : i + 4], "big") for i in range(len(line) - 3)]
+        best, score = model.usual, 0.0
+        for i, (name, f) in enumerate(zip(model.languages, model.false_rate, strict=True)):
+            have = sum(all(int(model.slots[0][mix((g + 0x9E3779B97F4A7C15 * (j + 1)) & full) >> (64 - 7)]) >> i & 1 for j in range(L.HASHES)) for g in grams)
+            fair = max(0.0, (have - len(grams) * f) / (1 - f))
+            if fair / len(grams) > score + 1e-12:
+                best, score = name, fair / len(grams)
+        return best, min(1.0, score)
+
+    for text in ["dolor sit", "Quick, BROWN foxes!", "été", "zzz qq", "dolor quick", "日本", "12", "", "lorem " * 30 + "over dogs " * 31, "x"]:
+        name, score = L.score_text(text.encode(), model)
+        want = brute(text)
+        assert (name, round(score, 9)) == (want[0], round(want[1], 9)), text
+    assert any(f > 0.01 for f in model.false_rate)

@@ -92,3 +92,37 @@ def test_passages_go_to_their_ends(spark):
     want.append(f"{own} ")
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert [r.text for r in S.dedup(df).orderBy("doc_id").collect()] == want
+
+
+def test_lines_equal_brute_force(spark):
+    """Texts of lines whose words no other line has: a line goes where an earlier (doc_id, place) has it."""
+    import random
+    import re
+
+    from helixgrid.llm import substring_dedup as S
+
+    rng = random.Random(8)
+    pool = [" ".join(f"w{i}x{j}" for j in range(rng.choice([1, 2, 5, 9, 20]))) for i in range(150)]
+    docs = [(i, "\n".join(rng.choice(pool) + rng.choice(["", ".", " !"]) for _ in range(rng.randrange(0, 14)))) for i in range(60)]
+    seen, want = set(), {}
+    for i, text in docs:
+        gone, at = [], 0
+        for line in text.split("\n"):
+            words = [(m.start() + at, m.end() + at) for m in re.finditer(r"[A-Za-z0-9]+", line)]
+            key = tuple(text[a:z] for a, z in words)
+            gone += [(*w, bool(key) and key in seen) for w in words]
+            seen.add(key)
+            at += len(line) + 1
+        spans = []
+        for k, (a, z, cut) in enumerate(gone):
+            if cut and spans and k and gone[k - 1][2]:
+                spans[-1][1] = z
+            elif cut:
+                spans.append([a, z])
+        kept, at = "", 0
+        for a, z in spans:
+            kept, at = kept + text[at:a], z
+        want[i] = (kept + text[at:], [tuple(s) for s in spans])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, [(s.start, s.end) for s in r.removed]) for r in S.dedup(df, line_words=1).collect()}
+    assert got == want and sum(bool(s) for _, s in want.values()) > 30

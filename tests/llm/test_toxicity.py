@@ -48,3 +48,20 @@ def test_no_labels(spark):
 def test_windows_cover_all_words():
     text = "ab " * 50 + "x" * 500 + "\n" + "é" * 40
     assert b"".join(b"".join(T.windows(text)).split()) == b"".join(text.encode().split())
+
+
+def test_scores_equal_plain_python(spark):
+    import math
+
+    rows = corpus(240, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), ~held_out())
+    toxic, ordinary = T._compressors(model.toxic, model.ordinary)
+
+    def brute(text):
+        seen = [max(T.LOW, min(T.HIGH, len(ordinary.compress(w)) - len(toxic.compress(w)))) for w in T.windows(text)]
+        counted = sum(max(0.0, model.ratio[x - T.LOW]) for x in seen if x >= 2)
+        return 1 / (1 + math.exp(-max(-30, min(30, model.slope * counted / (1 + math.log1p(len(seen))) + model.offset))))
+
+    got = {r.doc_id: r for r in T.score(docs, model).collect()}
+    assert all(abs(got[i].score - brute(t)) < 1e-9 and got[i].predicted == int(got[i].score >= 0.5) for i, t, _ in rows)
