@@ -512,7 +512,8 @@ def _link(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: st
     same_id = by_id.join(by_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).filter("a <> b")
     roots = cut(components(links.unionByName(same_id)))
 
-    numbered = shared.join(roots, "node", "left").select("key", "block", "node", F.coalesce("root", "node").alias("root"))
+    # read three times below, joined once
+    numbered = cut(shared.join(roots, "node", "left").select("key", "block", "node", F.coalesce("root", "node").alias("root")))
     # of shards of several blocks, all but the largest component's nodes visit the other blocks
     per_root = numbered.join(blocks_of, "key").groupBy("key", "last", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = per_root.groupBy("key", "last").agg(F.max(F.struct("m", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")

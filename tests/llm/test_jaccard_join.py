@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from helixgrid.llm import jaccard_join as J
 from helixgrid.llm.components import components
+from helixgrid.llm.session import cut
 
 
 def shingles(t):
@@ -132,6 +133,20 @@ def test_shards_of_several_blocks(spark):
     assert got[99_999] == (got[links[0]] if links else 99_999)
 
 
+def test_shards_meet_their_roots_once(spark, monkeypatch):
+    """Shards are read for the largest components, the guests and the blocks; their join with the roots must not run for each."""
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(J, "cut", spy)
+    df = spark.createDataFrame(corpus(3, 60), "doc_id long, text string")
+    assert sorted(tuple(r) for r in J.link(df).collect()) == brute(corpus(3, 60))
+    assert max(p.count("LeftOuter") for p in plans) == 1
+
+
 def test_rows_are_numbered_across_batches():
     key, node = [1, 1, 1, 2, 3, 3, 3, 4], [5, 5, 6, 7, 8, 9, 10, 11]
     for size in (1, 2, 3, 8):
