@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from helixgrid.functions import genomics as G
@@ -62,6 +65,33 @@ def test_intervals(spark):
         assert got.count() == want == got.distinct().count()
 
 
+def test_count_pairs_moves_no_pair_after_the_join(spark):
+    rng = random.Random(7)
+    left = [(rng.choice("xyz"), f"q{rng.randint(0, 30)}", s, s + rng.randint(0, 40)) for s in (rng.randint(0, 200) for _ in range(300))]
+    left += left[:40] + [("y" if c == "x" else "x", *r) for c, *r in left[:60]] + [(None, "q0", 5, 9), ("x", None, 5, 9)]
+    right = [(rng.choice("xyz"), i, s, s + rng.randint(0, 60)) for i, s in ((rng.randint(0, 150), rng.randint(0, 220)) for _ in range(90))]
+    right += right[:20] + [("z" if c == "x" else "x", *r) for c, *r in right[:15]] + [("x", None, 0, 90), ("y", None, 3, 50), (None, 1, 0, 90)]
+    want = Counter((q, s, e, i) for c, q, s, e in left for d, i, f, g in right if c and c == d and s < e and f < g and s < g and f < e)
+    a, b = spark.createDataFrame(left, "chrom string, q string, s long, e long"), spark.createDataFrame(right, "chrom string, id int, f long, g long")
+    for size in (1, 16, 1000):
+        got = I.count_pairs(a, b, "chrom", ["q", "s", "e"], "id", ("s", "e"), ("f", "g"), size)
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and {r[:4]: r[4] for r in rows} == want
+    # every right id has one interval: 600 x 400 pairs come out of the join, and no shuffle carries them
+    a = spark.range(600).selectExpr("'x' as chrom", "concat('q', id) as q", "id % 3 as s", "id % 3 + 20 as e")
+    b = spark.range(400).selectExpr("'x' as chrom", "id", "id % 5 as f", "id % 5 + 20 as g")
+    got = I.count_pairs(a, b, "chrom", ["q", "s", "e"], "id", ("s", "e"), ("f", "g"), 64)
+    before = moved(spark)
+    assert got.count() == 240_000 and moved(spark) - before < 5_000
+
+
+def moved(spark):
+    """Shuffle records that the session's stages have written."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def test_kmers_and_contamination(spark):
     ref = spark.createDataFrame([("ACGTAAAA",)], "seq string")
     known = {r.kmer for r in C.reference_kmers(ref, 4).collect()}
