@@ -85,6 +85,28 @@ def test_count_pairs_moves_no_pair_after_the_join(spark):
     assert got.count() == 240_000 and moved(spark) - before < 5_000
 
 
+def test_count_pairs_joins_lists_not_pairs(spark):
+    # names of three intervals and features of one bin, in more than one list each; some rows twice, a null on either side
+    a = spark.range(600).selectExpr("'x' as chrom", "concat('q', nullif(id, 7)) as q", "id % 3 as s", "id % 3 + 20 as e")
+    b = spark.range(400).selectExpr("'x' as chrom", "nullif(id, 9) as id", "id % 5 as f", "id % 5 + 20 as g")
+    got = I.count_pairs(a.union(a.filter("s = 1")), b.union(b.filter("f = 2")), "chrom", ["q", "s", "e"], "id", ("s", "e"), ("f", "g"), 64)
+    by = got.groupBy((F.col("s") == 1).alias("u"), (F.coalesce("id", F.lit(9)) % 5 == 2).alias("v")).agg(F.count(F.lit(1)), F.countDistinct(F.coalesce("q", F.lit("")), F.coalesce("id", F.lit(-1))), F.min("n"), F.max("n"))
+    assert {tuple(r) for r in by.collect()} == {(u, v, k, k, n, n) for u, v, k, n in ((False, False, 128_000, 1), (False, True, 32_000, 2), (True, False, 64_000, 2), (True, True, 16_000, 4))}
+    run = got._jdf.queryExecution()
+    assert run.toRdd().count() == 240_000 and 0 < joined(run.executedPlan()) < 1_000
+
+
+def joined(plan):
+    """Rows that the joins of a plan that has run gave."""
+    kind = plan.getClass().getSimpleName()
+    if kind.startswith("AdaptiveSparkPlan"):
+        return joined(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return joined(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") else 0
+    return own + sum(joined(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
 def moved(spark):
     """Shuffle records that the session's stages have written."""
     sc = spark.sparkContext
